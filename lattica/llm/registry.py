@@ -8,6 +8,8 @@ from importlib import import_module
 MODULES = {
     "op2_url_filter": "url_filter",
     "op3_exact_topk": "exact_topk",
+    "op8_line_dedup": "line_dedup",
+    "op9_mix_sources": "mixing",
 }
 
 
