@@ -10,6 +10,7 @@ MODULES = {
     "op3_exact_topk": "exact_topk",
     "op8_line_dedup": "line_dedup",
     "op9_mix_sources": "mixing",
+    "op10_byte_bpe": "byte_bpe",
 }
 
 
