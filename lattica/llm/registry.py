@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: query -> module
 MODULES = {
+    "op1_language_id": "language_crf",
     "op2_url_filter": "url_filter",
     "op3_exact_topk": "exact_topk",
     "op8_line_dedup": "line_dedup",
