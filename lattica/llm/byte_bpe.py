@@ -15,7 +15,7 @@ from __future__ import annotations
 import base64
 import json
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -34,7 +34,7 @@ LONGEST_FOLDED = 512
 #: Blocks of the shuffled form, in rows.
 BLOCK_ROWS = 16384
 #: Distinct pieces that one task folds.
-WORDS_EACH = 50_000
+WORDS_EACH = 200_000
 #: Pieces that one step of the assembly holds.
 CHUNK_PIECES = 1 << 20
 _SPACE = r"\x09-\x0D\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
@@ -53,44 +53,60 @@ def jvm_pattern(pattern: str) -> str:
     return inside.replace(r"\s", f"[{_SPACE}]").replace(r"\S", f"[^{_SPACE}]")
 
 
+def _cells(ranks: dict[bytes, int]) -> int:
+    """A power of two, for two to four ranks in a cell: a task reads the literal object by object before it starts."""
+    return 1 << max((len(ranks) // 2).bit_length() - 1, 0)
+
+
 def rank_literal(ranks: dict[bytes, int]) -> Column:
     """The ranks as array<map<string,int>>, which the optimizer folds into a literal of the plan."""
-    n = 1
-    while n < len(ranks):
-        n *= 2
-    cells: list[dict[str, int]] = [{} for _ in range(n)]
+    cells: list[dict[str, int]] = [{} for _ in range(_cells(ranks))]
     for token, rank in ranks.items():
         key = token.decode("latin-1")
-        cells[zlib.crc32(key.encode()) % n][key] = rank
+        cells[zlib.crc32(key.encode()) % len(cells)][key] = rank
     return F.from_json(F.lit(json.dumps(cells, separators=(",", ":"))), "array<map<string,int>>")
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once: lambdas are interpreted, and repeat what they repeat."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def fold_merges(chars: Column, table: Column, size: int) -> Column:
-    """The tokens of one piece (``chars``: its bytes as characters) as array<string>."""
+    """The tokens of one piece (``chars``: its bytes as characters) as array<string>.
+
+    The state of the fold is the parts and the rank of each part with the next.
+    """
     none = F.lit(2**31 - 1)
 
-    def rank(key: Column) -> Column:
-        cell = F.get(table, F.crc32(key).bitwiseAND(F.lit(size - 1)).cast("int"))
-        return F.coalesce(F.element_at(cell, key), none)
+    def rank(pair: Column) -> Column:
+        return _let(pair, lambda key: F.coalesce(F.element_at(F.get(table, F.crc32(key).bitwiseAND(F.lit(size - 1)).cast("int")), key), none))
+
+    def one(there: Column, pair: Column) -> Column:
+        return F.when(there, F.array(rank(pair))).otherwise(F.array().cast("array<int>"))
 
-    parts = F.split(chars, "")
-    ranks = F.transform(F.sequence(F.lit(0), F.size(parts) - 2), lambda i: rank(F.concat(F.get(parts, i), F.get(parts, i + 1))))
-    start = F.struct(parts.alias("p"), ranks.alias("r"), F.array_min(ranks).alias("low"))
+    def merge_at(p: Column, r: Column, at: Column, both: Column) -> Column:  # at: from 1
+        new_p = F.concat(F.slice(p, 1, at - 1), F.array(both), F.slice(p, at + 2, F.size(p)))
+        left = one(at > 1, F.concat(F.get(p, at - 2), both))
+        right = one(at < F.size(r), F.concat(both, F.get(p, at + 1)))
+        return F.struct(new_p.alias("p"), F.concat(F.slice(r, 1, F.greatest(at - 2, F.lit(0))), left, right, F.slice(r, at + 2, F.size(r))).alias("r"))
 
     def merge(state: Column, _: Column) -> Column:
-        def joined(p: Column, r: Column, low: Column) -> Column:
-            at = F.array_position(r, low).cast("int")  # from 1
-            both = F.concat(F.get(p, at - 1), F.get(p, at))
-            left = F.when(at > 1, F.array(rank(F.concat(F.get(p, at - 2), both)))).otherwise(F.array().cast("array<int>"))
-            right = F.when(at < F.size(r), F.array(rank(F.concat(both, F.get(p, at + 1))))).otherwise(F.array().cast("array<int>"))
-            new_p = F.concat(F.slice(p, 1, at - 1), F.array(both), F.slice(p, at + 2, F.size(p)))
-            new_r = F.concat(F.slice(r, 1, F.greatest(at - 2, F.lit(0))), left, right, F.slice(r, at + 2, F.size(r)))
-            return F.struct(new_p.alias("p"), new_r.alias("r"), F.coalesce(F.array_min(new_r), none).alias("low"))
+        p, r = state["p"], state["r"]
 
-        return F.when(state["low"] == none, state).otherwise(joined(state["p"], state["r"], state["low"]))
+        def lowest(low: Column) -> Column:
+            def found(at: Column) -> Column:
+                return _let(F.concat(F.get(p, at - 1), F.get(p, at)), lambda both: merge_at(p, r, at, both))
 
-    folded = F.aggregate(F.sequence(F.lit(2), F.size(parts)), start, merge, lambda s: s["p"])
-    return F.when(F.length(chars) < 2, F.array(chars)).when(rank(chars) < none, F.array(chars)).otherwise(folded)
+            return F.when(F.coalesce(low, none) == none, state).otherwise(_let(F.array_position(r, low).cast("int"), found))
+
+        return _let(F.array_min(r), lowest)
+
+    def start(parts: Column) -> Column:
+        ranks = F.transform(F.sequence(F.lit(0), F.size(parts) - 2), lambda i: rank(F.concat(F.get(parts, i), F.get(parts, i + 1))))
+        return F.aggregate(F.sequence(F.lit(2), F.size(parts)), F.struct(parts.alias("p"), ranks.alias("r")), merge, lambda s: s["p"])
+
+    return F.when((F.length(chars) < 2) | (rank(chars) < none), F.array(chars)).otherwise(_let(F.split(chars, ""), start))
 
 
 def merge_by_heap(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -121,15 +137,19 @@ def encode_words(words: DataFrame, ranks: dict[bytes, int], longest_folded: int
 
     Every single byte needs a rank, as in any byte-level vocabulary.
     """
-    size = 1
-    while size < len(ranks):
-        size *= 2
-    table = rank_literal(ranks)
+    size = _cells(ranks)
     chars = F.decode(F.encode("word", "UTF-8"), "ISO-8859-1")
-    tokens = words.where(F.octet_length("word") <= longest_folded).select("word", fold_merges(chars, table, size).alias("tokens"))
-    ids = F.transform("tokens", lambda t: F.element_at(F.get(table, F.crc32(t).bitwiseAND(F.lit(size - 1)).cast("int")), t))
-    packed = F.unhex(F.array_join(F.transform(ids, lambda i: F.lpad(F.hex(i), 8, "0")), ""))
-    folded = tokens.select("word", packed.alias("ids"), F.size("tokens").alias("n"))
+
+    def coded(table: Column) -> Column:
+        def packed(tokens: Column) -> Column:
+            ids = F.transform(tokens, lambda t: F.element_at(F.get(table, F.crc32(t).bitwiseAND(F.lit(size - 1)).cast("int")), t))
+            hexed = F.transform(ids, lambda i: F.lpad(F.hex(i), 8, "0"))
+            return F.struct(F.unhex(F.array_join(hexed, "")).alias("ids"), F.size(tokens).alias("n"))
+
+        return _let(fold_merges(chars, table, size), packed)
+
+    short = words.where(F.octet_length("word") <= longest_folded)
+    folded = short.select("word", F.inline(F.transform(F.array(rank_literal(ranks)), coded)))
 
     def by_heap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
