@@ -91,7 +91,8 @@ def block_copies(counts: DataFrame, seed: int = SEED) -> DataFrame:
     """How often the slots take each block: (source, block, copies)."""
     before = Window.partitionBy(*SRC).orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     first = F.coalesce(F.sum("n").over(before), F.lit(0))
-    slots = counts.withColumn("first", first).withColumn("k", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)))
+    dealt = counts.withColumn("first", first).repartition(*SRC, "shard")  # else the order by source would hold, and the largest in one task
+    slots = dealt.withColumn("k", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)))
     slots = slots.withColumns({"round": F.floor(F.col("k") / F.col("blocks")), "i": F.col("k") % F.col("blocks")})
     a = F.lit(1).cast("long")
     for p in reversed(PRIMES):
