@@ -16,6 +16,7 @@ import base64
 import json
 import zlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -26,6 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm.common import n_buckets, stage
+from lattica.llm.packed import Ranges, steps
 
 #: Largest dictionary of distinct pieces, in bytes, that is sent to every worker; beyond it texts and pieces meet by shuffle.
 BROADCAST_BYTES = 128 << 20
@@ -36,7 +38,7 @@ BLOCK_ROWS = 16384
 #: Distinct pieces that one task folds.
 WORDS_EACH = 200_000
 #: Pieces that one step of the assembly holds.
-CHUNK_PIECES = 1 << 20
+CHUNK_PIECES = 1 << 19
 _SPACE = r"\x09-\x0D\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 _DICT = "word string, ids binary, n int"
 
@@ -157,7 +159,8 @@ def encode_words(words: DataFrame, ranks: dict[bytes, int], longest_folded: int
             packed = [np.array(x, ">u4").tobytes() for x in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary()), pa.array([len(x) for x in found], pa.int32())], names=["word", "ids", "n"])
 
-    return folded.unionByName(words.where(F.octet_length("word") > longest_folded).select("word").mapInArrow(by_heap, _DICT))
+    long = words.where(F.octet_length("word") > longest_folded).select("word")
+    return folded.unionByName(long.mapInArrow(by_heap, _DICT)) if long.limit(1).count() else folded
 
 
 def pieces(text: Column, pattern: str) -> Column:
@@ -165,29 +168,58 @@ def pieces(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(jvm_pattern(pattern)), F.lit(0))
 
 
-def _assemble(keys: pa.Array, words: pa.ListArray, known: pa.Table, vocabulary: pa.Array) -> Iterator[pa.RecordBatch]:
+@dataclass(frozen=True)
+class Dictionary:
+    """Pieces by sorted hash, and their ids one after the other."""
+
+    hashes: np.ndarray
+    first: np.ndarray
+    ids: np.ndarray
+
+    @classmethod
+    def of(cls, words: pa.Array, ids: pa.Array) -> Dictionary | None:
+        """None if two of the pieces share a hash."""
+        hashes = _word_hashes(words)
+        order = np.argsort(hashes)
+        hashes, ids = hashes[order], ids.take(pa.array(order))
+        if (hashes[1:] == hashes[:-1]).any():
+            return None
+        n = pc.binary_length(ids).to_numpy(zero_copy_only=False).astype(np.int64) // 4
+        flat = np.frombuffer(b"".join(ids.to_pylist()), ">u4")
+        return cls(hashes, np.concatenate([[0], np.cumsum(n)]).astype(np.uint32), flat.astype(np.uint16 if flat.max(initial=0) < 1 << 16 else np.uint32))
+
+
+def _word_hashes(words: pa.Array) -> np.ndarray:
+    found = [Ranges(data).hash(bounds[:-1], bounds[1:]) for _, data, bounds in steps(words, words)]
+    return np.concatenate(found) if found else np.zeros(0, np.uint64)
+
+
+def _assemble(keys: pa.Array, words: pa.ListArray, known: Dictionary | pa.Table, vocabulary: pa.Array) -> Iterator[pa.RecordBatch]:
     """Look the pieces of each row up and put ids and decoded bytes together, column-wise, some rows at a time."""
-    coded = pc.dictionary_encode(words.flatten())
-    at = pc.index_in(coded.dictionary, known["word"])
-    if at.null_count:
-        raise ValueError("a piece is not in the dictionary of distinct pieces")
-    local = known.take(at).combine_chunks()
-    n = local["n"].to_numpy().astype(np.int64)
-    flat = np.frombuffer(b"".join(local["ids"].to_pylist()), ">u4").astype(np.uint32)
-    first = np.concatenate([[0], np.cumsum(n)])
-    index, bounds = coded.indices.to_numpy(), words.offsets.to_numpy().astype(np.int64)
-    bounds = bounds - bounds[0]
+    bounds = words.offsets.to_numpy().astype(np.int64)
     row = 0
     while row < len(words):
         stop = max(row + 1, int(np.searchsorted(bounds, bounds[row] + CHUNK_PIECES, "right")) - 1)
-        some = index[bounds[row] : bounds[stop]]
+        coded = pc.dictionary_encode(words.values.slice(bounds[row], bounds[stop] - bounds[row]))
+        if isinstance(known, Dictionary):
+            hashes = _word_hashes(coded.dictionary)
+            at = np.searchsorted(known.hashes, hashes)
+            if len(hashes) and not (known.hashes[np.minimum(at, len(known.hashes) - 1)] == hashes).all():
+                raise ValueError("a piece is not in the dictionary of distinct pieces")
+            start, n = known.first[at].astype(np.int64), np.diff(known.first).astype(np.int64)[at] if len(at) else at
+            flat = known.ids
+        else:
+            local = known.take(pc.index_in(coded.dictionary, known["word"])).combine_chunks()
+            n = local["n"].to_numpy().astype(np.int64)
+            flat, start = np.frombuffer(b"".join(local["ids"].to_pylist()), ">u4"), np.cumsum(n) - n
+        some = coded.indices.to_numpy()
         counts = n[some]
         ends = np.concatenate([[0], np.cumsum(counts)])
-        ids = flat[np.repeat(first[some] - ends[:-1], counts) + np.arange(ends[-1])]
+        ids = flat[np.repeat(start[some] - ends[:-1], counts) + np.arange(ends[-1])].astype("<u4")
         tokens = ends[bounds[row : stop + 1] - bounds[row]]
         texts = vocabulary.take(pa.array(ids))
         byte_at = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64)])[tokens]
-        raw, decoded = ids.astype("<u4").tobytes(), bytes(texts.buffers()[2] or b"")
+        raw, decoded = ids.tobytes(), bytes(texts.buffers()[2] or b"")
         yield pa.RecordBatch.from_arrays(
             [
                 keys.slice(row, stop - row),
@@ -218,25 +250,25 @@ def encode(
     spark: SparkSession = docs.sparkSession
     cut = docs.select("doc_id", pieces(F.col("text"), pattern).alias("words"))
     words = stage(cut.select(F.explode("words").alias("word")).distinct(), "bpe-words")
-    spread = words.repartition(n_buckets(spark, words.count(), WORDS_EACH), "word")
-    dictionary = stage(encode_words(spread, ranks, longest_folded), "bpe-dictionary")
+    tasks = max(2 * spark.sparkContext.defaultParallelism, -(-words.count() // WORDS_EACH))
+    dictionary = stage(encode_words(words.repartition(tasks, "word"), ranks, longest_folded), "bpe-dictionary")
     tokens = [b""] * (max(ranks.values(), default=-1) + 1)
     for token, rank in ranks.items():
         tokens[rank] = token
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids binary, decoded binary"
     size = dictionary.agg(F.coalesce(F.sum(F.octet_length("word") + F.octet_length("ids") + 12), F.lit(0))).first()[0]
+    known = None
     if size <= broadcast_bytes:
-        sink = pa.BufferOutputStream()
-        known = dictionary.toArrow()
-        with pa.ipc.new_stream(sink, known.schema) as out:
-            out.write_table(known)
-        del known
-        sent = spark.sparkContext.broadcast(sink.getvalue().to_pybytes())
+        table = dictionary.select("word", "ids").toArrow().combine_chunks()
+        known = Dictionary.of(*(c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in table.columns))
+        del table
+    if known:
+        sent = spark.sparkContext.broadcast(known)
 
         def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known, vocabulary = pa.ipc.open_stream(sent.value).read_all(), pa.array(tokens, pa.binary())
+            vocabulary = pa.array(tokens, pa.binary())
             for batch in batches:
-                yield from _assemble(batch.column(0), batch.column(1), known, vocabulary)
+                yield from _assemble(batch.column(0), batch.column(1), sent.value, vocabulary)
 
         return cut.mapInArrow(look_up, schema)
 
