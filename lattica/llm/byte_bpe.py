@@ -170,23 +170,32 @@ def pieces(text: Column, pattern: str) -> Column:
 
 @dataclass(frozen=True)
 class Dictionary:
-    """Pieces by sorted hash, and their ids one after the other."""
+    """Pieces by sorted hash; of each, the place and number of its ids in ``ids``."""
 
     hashes: np.ndarray
     first: np.ndarray
+    n: np.ndarray
     ids: np.ndarray
 
     @classmethod
-    def of(cls, words: pa.Array, ids: pa.Array) -> Dictionary | None:
-        """None if two of the pieces share a hash."""
-        hashes = _word_hashes(words)
+    def of(cls, table: DataFrame, small: bool) -> Dictionary | None:
+        """Packed on the executors, and sorted here; None if two of the pieces share a hash."""
+        kind = np.dtype("<u2" if small else "<u4")
+
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids = np.frombuffer(b"".join(batch.column(1).to_pylist()), ">u4").astype(kind)
+                cells = _word_hashes(batch.column(0)).tobytes(), batch.column(2).to_numpy().astype("<u4").tobytes(), ids.tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in cells], names=["h", "n", "ids"])
+
+        packed = table.select("word", "ids", "n").mapInArrow(pack, "h binary, n binary, ids binary").toArrow()
+        hashes, n, ids = (np.frombuffer(b"".join(packed[c].to_pylist()), t) for c, t in (("h", np.uint64), ("n", "<u4"), ("ids", kind)))
         order = np.argsort(hashes)
-        hashes, ids = hashes[order], ids.take(pa.array(order))
+        hashes = hashes[order]
         if (hashes[1:] == hashes[:-1]).any():
             return None
-        n = pc.binary_length(ids).to_numpy(zero_copy_only=False).astype(np.int64) // 4
-        flat = np.frombuffer(b"".join(ids.to_pylist()), ">u4")
-        return cls(hashes, np.concatenate([[0], np.cumsum(n)]).astype(np.uint32), flat.astype(np.uint16 if flat.max(initial=0) < 1 << 16 else np.uint32))
+        first = (np.cumsum(n, dtype=np.int64) - n)[order]
+        return cls(hashes, first.astype(np.uint32 if len(ids) < 1 << 32 else np.int64), n[order], ids)
 
 
 def _word_hashes(words: pa.Array) -> np.ndarray:
@@ -206,7 +215,7 @@ def _assemble(keys: pa.Array, words: pa.ListArray, known: Dictionary | pa.Table,
             at = np.searchsorted(known.hashes, hashes)
             if len(hashes) and not (known.hashes[np.minimum(at, len(known.hashes) - 1)] == hashes).all():
                 raise ValueError("a piece is not in the dictionary of distinct pieces")
-            start, n = known.first[at].astype(np.int64), np.diff(known.first).astype(np.int64)[at] if len(at) else at
+            start, n = known.first[at].astype(np.int64), known.n[at].astype(np.int64)
             flat = known.ids
         else:
             local = known.take(pc.index_in(coded.dictionary, known["word"])).combine_chunks()
@@ -257,11 +266,7 @@ def encode(
         tokens[rank] = token
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids binary, decoded binary"
     size = dictionary.agg(F.coalesce(F.sum(F.octet_length("word") + F.octet_length("ids") + 12), F.lit(0))).first()[0]
-    known = None
-    if size <= broadcast_bytes:
-        table = dictionary.select("word", "ids").toArrow().combine_chunks()
-        known = Dictionary.of(*(c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in table.columns))
-        del table
+    known = Dictionary.of(dictionary, len(tokens) <= 1 << 16) if size <= broadcast_bytes else None
     if known:
         sent = spark.sparkContext.broadcast(known)
 
