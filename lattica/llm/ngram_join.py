@@ -1,18 +1,20 @@
 """Set-similarity self-join of n-gram sets with prefix trees.
 
-A text's set holds the hashes of its distinct shingles in one global order: the
-frequent ones first, by count, then the others by hash.  Two sets that reach the
-threshold share one of their rarest few (the prefix filter), so texts connected
-by shared prefix shingles form blocks that no link leaves.  Within a block sets
-are inserted one by one into a trie over the global order.  A set is first
-looked up: the walk counts shared shingles once for all sets below a node, and
-leaves a subtree when what remains of either side can't reach the threshold any
-more, or when all below it is already of the same component.
+A set that links to another shares most of its shingles with it, so it has few
+that no other set has.  Counting those among one half of all shingles (by hash)
+leaves the sets that can link at all.  Among them the exact number of sets that
+have each shingle gives a global order: sets that link share one of their rarest
+few (the prefix filter), and sets connected by such shingles form blocks that no
+link leaves.  Within a block every set is a path of a trie over one order, the
+shingles of most sets first, so near copies share most of their path.  A set is
+looked up before it is inserted: the walk counts shared shingles once for all
+sets below a node, and leaves a subtree when what remains of either side can't
+reach the threshold any more, or when all below is of the set's own component
+already.
 
 Equal sets are one vertex.  Blocks of more than ``block_sets`` sets are cut into
-parts, and every pair of parts is a task of its own.  Links, edges and counts
-stay in tables; the driver sees the list of frequent shingles, whose length is
-bounded.
+parts, and every pair of parts is a task of its own.  Sets, edges and counts
+stay in tables; the driver sees totals.
 """
 
 from __future__ import annotations
@@ -28,14 +30,13 @@ from lattica.llm.common import n_buckets, stage
 from lattica.llm.packed import Ranges, components, min_labels, mix, steps
 
 WORDS, PERCENT = 5, 75
-#: Frequent shingles that the order knows by count; any number gives the same links.
-FREQUENT = 1 << 16
 BLOCK_SETS = 4096
-BUCKET_TOKENS, TASK_TOKENS = 2_000_000, 2_000_000
-_TOP = np.uint64(1 << 63)
-_FEATURES = "kind tinyint, doc_id long, h1 long, h2 long, n long"
+BUCKET_TOKENS = 2_000_000
+#: Shingles with a smaller hash are counted to leave sets out; the others only in what is left.
+COUNTED = np.uint64(1 << 63)
+_FEATURES = "doc_id long, h1 long, h2 long, n long"
+_ONCE = "bucket int, keys binary, sids binary, runs binary"
 _ENTRIES = "bucket int, a binary, b binary"
-_SETS = "doc_id long, h1 long, h2 long, n long, keys binary"
 
 
 def shingles(data: np.ndarray, bounds: np.ndarray, size: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -77,37 +78,10 @@ def digests(grams: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _feature_rows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """kind 0: a document with its digest and set size; kind 1: a shingle that several of these texts have, and its count."""
     for batch in batches:
         for ids, data, bounds in steps(batch.column(0), batch.column(1)):
             grams, at = shingles(data, bounds, size)
-            h1, h2 = digests(grams, at)
-            values, counts = np.unique(grams, return_counts=True)
-            common = counts >= max(4, len(ids) // 256)
-            m = int(common.sum())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.repeat(np.array([0, 1], np.int8), [len(ids), m])),
-                    pa.concat_arrays([ids, pa.nulls(m, pa.int64())]),
-                    pa.array(np.concatenate([h1, values[common].view(np.int64)])),
-                    pa.array(np.concatenate([h2, np.zeros(m, np.int64)])),
-                    pa.array(np.concatenate([np.diff(at), counts[common]])),
-                ],
-                names=["kind", "doc_id", "h1", "h2", "n"],
-            )
-
-
-def order_keys(grams: np.ndarray, at: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Each text's set in the global order: rank among the frequent, else hash with the top bit set."""
-    keys = (grams >> np.uint64(1)) | _TOP
-    if len(frequent):
-        i = np.minimum(np.searchsorted(frequent, grams), len(frequent) - 1)
-        known = frequent[i] == grams
-        keys[known] = rank[i[known]]
-        touched = np.unique(np.searchsorted(at, np.flatnonzero(known), "right") - 1)
-        for j in touched:
-            keys[at[j] : at[j + 1]].sort()
-    return keys
+            yield pa.RecordBatch.from_arrays([ids, *map(pa.array, (*digests(grams, at), np.diff(at)))], names=["doc_id", "h1", "h2", "n"])
 
 
 def required(n, percent: int = PERCENT):
@@ -115,24 +89,115 @@ def required(n, percent: int = PERCENT):
     return -(-n * percent // 100)
 
 
-def _prefixes(at: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of each set's rarest n - required(n) + 1, and the text of each."""
-    n = np.diff(at)
-    size = np.where(n > 0, n - required(n, percent) + 1, 0)
-    ends = np.cumsum(size)
-    doc = np.repeat(np.arange(len(n)), size)
-    return np.repeat(at[1:] - ends, size) + np.arange(ends[-1] if len(ends) else 0), doc
+def _deal(bucket: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    return order, cuts, np.flatnonzero(np.diff(cuts))
+
+
+def _bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(keys) % np.uint64(buckets)).astype(np.int64)
 
 
-def _entry_rows(batches: Iterator[pa.RecordBatch], size: int, percent: int, buckets: int, frequent, rank) -> Iterator[pa.RecordBatch]:
-    """Prefix shingles by bucket, each once for the sets of this step that it connects; and those connections."""
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    fields = [f.split() for f in schema.split(", ")]
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    columns = list(zip(*rows)) or [[]] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(columns, fields)], names=[n for n, _ in fields])
+
+
+def _counted_rows(batches: Iterator[pa.RecordBatch], size: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """The counted shingles of a step by bucket, six bytes each, set after set; one that several sets here have comes once, without a set.
+
+    Shingles that agree in those six bytes count as shared, which leaves more sets in.
+    """
     for batch in batches:
         for _, data, bounds in steps(batch.column(0), batch.column(1)):
             grams, at = shingles(data, bounds, size)
             sid = digests(grams, at)[0]
-            place, doc = _prefixes(at, percent)
-            keys = order_keys(grams, at, frequent, rank)[place]
-            yield from _send(keys, sid[doc], buckets)
+            _, one = np.unique(sid, return_index=True)
+            doc = np.repeat(np.arange(len(sid)), np.diff(at))
+            use = np.zeros(len(sid), bool)
+            use[one] = True
+            use = use[doc] & (grams < COUNTED)
+            keys, doc = grams[use] & np.uint64(2**48 - 1), doc[use]
+            value, first, number = np.unique(keys, return_index=True, return_counts=True)
+            first = first[np.argsort(doc[first] + len(sid) * (number > 1), kind="stable")]  # set after set, the shared last
+            shared = np.zeros(len(keys), bool)
+            shared[np.unique(keys, return_index=True)[1][number > 1]] = True
+            keys, owner = keys[first], np.where(shared[first], -1, doc[first])
+            order, cuts, full = _deal(_bucket_of(keys, buckets), buckets)
+            keys, owner = keys[order], owner[order]
+            six = np.frombuffer(keys.astype("<u8").tobytes(), np.uint8).reshape(-1, 8)[:, :6]
+            rows = []
+            for i in full:
+                own = owner[cuts[i] : cuts[i + 1]]
+                starts = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+                runs = np.diff(np.append(starts, len(own))).astype(np.int32)
+                sets = np.where(own[starts] >= 0, sid[own[starts]], 0)
+                if own[-1] < 0:
+                    runs[-1] = -runs[-1]
+                rows.append((int(i), six[cuts[i] : cuts[i + 1]].tobytes(), sets.tobytes(), runs.tobytes()))
+            yield _batch(rows, _ONCE)
+
+
+def _alone(table: pa.Table) -> pa.Table:
+    """Of a bucket: how many shingles each set has that no other has."""
+    raw = np.frombuffer(b"".join(table["keys"].to_pylist()), np.uint8).reshape(-1, 6)
+    keys = np.zeros((len(raw), 8), np.uint8)
+    keys[:, :6] = raw
+    keys = keys.view("<u8").ravel()
+    sids, runs = np.frombuffer(b"".join(table["sids"].to_pylist()), np.int64), np.frombuffer(b"".join(table["runs"].to_pylist()), np.int32)
+    sids, shared = np.repeat(sids, np.abs(runs)), np.repeat(runs < 0, np.abs(runs))
+    order = np.argsort(keys)
+    k, s, m = keys[order], sids[order], shared[order]
+    starts = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+    alone = (np.minimum.reduceat(s, starts) == np.maximum.reduceat(s, starts)) & ~np.logical_or.reduceat(m, starts)
+    sid, n = np.unique(s[starts[alone]], return_counts=True)
+    return pa.table({"sid": pa.array(sid), "alone": pa.array(n)})
+
+
+def _set_keys(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+    for sid, raw in zip(batch["h1"].to_pylist(), batch["keys"].to_pylist()):
+        yield sid, np.frombuffer(raw, np.uint64)
+
+
+def _all_rows(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """All shingles of the sets that are left, by bucket, with their set."""
+    for batch in batches:
+        found = list(_set_keys(batch))
+        if found:
+            keys = np.concatenate([k for _, k in found])
+            sids = np.repeat([s for s, _ in found], [len(k) for _, k in found])
+            order, cuts, full = _deal(_bucket_of(keys, buckets), buckets)
+            keys, sids = keys[order], sids[order]
+            yield _batch([(int(i), keys[cuts[i] : cuts[i + 1]].tobytes(), sids[cuts[i] : cuts[i + 1]].tobytes()) for i in full], _ENTRIES)
+
+
+def _counts(table: pa.Table) -> pa.Table:
+    """Of a bucket: each set's shingles that others have too, and how many sets have them."""
+    keys, sids = np.frombuffer(b"".join(table["a"].to_pylist()), np.uint64), np.frombuffer(b"".join(table["b"].to_pylist()), np.int64)
+    _, inverse, number = np.unique(keys, return_inverse=True, return_counts=True)
+    number = number[inverse]
+    keys, sids, number = keys[number > 1], sids[number > 1], number[number > 1]
+    order = np.argsort(sids, kind="stable")
+    keys, sids, number = keys[order], sids[order], number[order].astype(np.uint32)
+    starts = np.flatnonzero(np.append(True, sids[1:] != sids[:-1])) if len(sids) else np.zeros(0, np.int64)
+    cuts = np.append(starts, len(sids))
+    parts = [(int(sids[a]), keys[a:b].tobytes(), number[a:b].tobytes()) for a, b in zip(cuts, cuts[1:])]
+    return pa.Table.from_batches([_batch(parts, "sid long, keys binary, number binary")])
+
+
+def _prefix_rows(batches: Iterator[pa.RecordBatch], percent: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """The rarest shingles of each set that it must share with what it links to; those that it has alone are its rarest."""
+    for batch in batches:
+        keys, sids = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for sid, n, parts, numbers in zip(*(batch[c].to_pylist() for c in ("sid", "n", "keys", "numbers"))):
+            own, number = np.frombuffer(b"".join(parts), np.uint64), np.frombuffer(b"".join(numbers), np.uint32)
+            take = max(n - required(n, percent) + 1 - (n - len(own)), 0)
+            keys.append(own[np.lexsort((own, number))[:take]])
+            sids.append(np.full(len(keys[-1]), sid))
+        yield from _send(np.concatenate(keys), np.concatenate(sids), buckets)
 
 
 def _connect(keys: np.ndarray, sids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -145,18 +210,14 @@ def _connect(keys: np.ndarray, sids: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _send(keys: np.ndarray, sids: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Each key once with one of the sets that it connects here, by bucket; and the connections, in buckets below 0."""
     key, vertex, a, b = _connect(keys, sids)
-    bucket = (mix(key) % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    order, cuts, full = _deal(_bucket_of(key, buckets), buckets)
     key, vertex = key[order], vertex[order]
-    full = np.flatnonzero(np.diff(cuts))
     rows = [(int(i), key[cuts[i] : cuts[i + 1]].tobytes(), vertex[cuts[i] : cuts[i + 1]].tobytes()) for i in full]
     if len(a):
         rows.append((-1 - int(a[0] % buckets), a.tobytes(), b.tobytes()))
-    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "a", "b"]) if rows else pa.RecordBatch.from_arrays(
-        [pa.array([], pa.int32()), pa.array([], pa.binary()), pa.array([], pa.binary())], names=["bucket", "a", "b"]
-    )
+    yield _batch(rows, _ENTRIES)
 
 
 def _edges(entries: pa.Table) -> pa.Table:
@@ -252,18 +313,20 @@ class Trie:
 
 
 def _links(table: pa.Table, percent: int) -> pa.Table:
-    """Edges (a, b) between documents that stand for sets: each set's first and the first of what it is linked with."""
-    task = list(zip(*(table[c].to_pylist() for c in ("block", "i", "j"))))
+    """Edges (a, b) between sets: each set's first, and the first of what it is linked with in the same pair of parts."""
+    columns = {c: table[c].to_pylist() for c in ("block", "i", "j", "h1", "h2", "part")}
     groups: dict[tuple, list[int]] = {}
-    for row, key in enumerate(task):
+    for row, key in enumerate(zip(columns["block"], columns["i"], columns["j"])):
         groups.setdefault(key, []).append(row)
-    ids, part = table["doc_id"].to_pylist(), table["part"].to_pylist()
-    raw, mark = table["keys"], list(zip(table["h1"].to_pylist(), table["h2"].to_pylist()))
+    sids, part, mark = columns["h1"], columns["part"], list(zip(columns["h1"], columns["h2"]))
     a, b = [], []
     for (_, i, j), rows in groups.items():
-        rows = list({mark[r]: r for r in rows}.values())
-        rows.sort(key=lambda r: ids[r])
-        sets = [np.frombuffer(raw[r].as_py(), np.uint64) for r in rows]
+        rows = sorted({mark[r]: r for r in rows}.values(), key=lambda r: mark[r])
+        raw = [np.frombuffer(table["keys"][r].as_py(), np.uint64) for r in rows]
+        _, inverse, number = np.unique(np.concatenate(raw), return_inverse=True, return_counts=True)
+        place = np.empty(len(number), np.int64)
+        place[np.argsort(-number, kind="stable")] = np.arange(len(number))  # the order: of most sets first, then by hash
+        sets = [np.sort(x) for x in np.split(place[inverse], np.cumsum([len(x) for x in raw])[:-1])]
         trie = Trie(sets, list(range(len(rows))), percent)
         if i == j:
             for k in range(len(rows)):
@@ -278,14 +341,12 @@ def _links(table: pa.Table, percent: int) -> pa.Table:
                     trie.link(k)
         for k, r in enumerate(rows):
             if trie.find(k) != k:
-                a.append(ids[r])
-                b.append(ids[rows[trie.find(k)]])
+                a.append(sids[r])
+                b.append(sids[rows[trie.find(k)]])
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def link_components(
-    docs: DataFrame, size: int = WORDS, percent: int = PERCENT, frequent_shingles: int = FREQUENT, block_sets: int = BLOCK_SETS
-) -> DataFrame:
+def link_components(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, block_sets: int = BLOCK_SETS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id.
 
     Words are runs of other than space and U+0009 to U+000D, A-Z lower-cased;
@@ -294,56 +355,53 @@ def link_components(
     are empty and linked with nothing.  Equal sets always link, so exact copies
     and repeated rows share a component; the smallest doc_id names it.  Columns
     but doc_id (long) and text are ignored.  Shingles are compared by 64-bit
-    hashes within a pair of texts.
+    hashes, and sets are told apart by 128 bits and named by 64 of them.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    features = stage(docs.mapInArrow(lambda it: _feature_rows(it, size), _FEATURES), "join-features")
-    rows = features.where("kind = 0")
-    top = features.where("kind = 1").groupBy("h1").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h1").limit(frequent_shingles)
-    counted = top.toPandas()
-    values = counted["h1"].to_numpy(np.int64).view(np.uint64)
-    by_value = np.argsort(values)
-    frequent, rank = values[by_value], np.arange(len(values), dtype=np.uint64)[by_value]
-    known = spark.sparkContext.broadcast((frequent, rank))
+    rows = stage(docs.mapInArrow(lambda it: _feature_rows(it, size), _FEATURES), "join-features")
     tokens = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    buckets = n_buckets(spark, tokens * (100 - percent) // 100, BUCKET_TOKENS)
-    entries = docs.mapInArrow(lambda it: _entry_rows(it, size, percent, buckets, *known.value), _ENTRIES)
-    edges = entries.groupBy("bucket").applyInArrow(_edges, "a long, b long")
-    inside = components(edges, "join-blocks")
-
-    members = inside.select(F.col("v").alias("h1"), F.col("root").alias("block")).union(inside.select("root", "root").distinct())
+    buckets = n_buckets(spark, tokens // 2, BUCKET_TOKENS)
+    # sets that can link
+    counted = docs.mapInArrow(lambda it: _counted_rows(it, size, buckets), _ONCE).groupBy("bucket").applyInArrow(_alone, "sid long, alone long")
+    alone = counted.groupBy("sid").agg(F.sum("alone").alias("alone"))
     distinct = rows.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"))
-    placed = stage(distinct.join(members, "h1"), "join-members")
-    sizes = placed.groupBy("block").agg(F.ceil(F.count("*") / block_sets).cast("int").alias("parts"))
-    placed = placed.join(sizes, "block").select(F.col("rep").alias("doc_id"), F.col("h1").alias("s1"), F.col("h2").alias("s2"), "block", "parts")
+    may = distinct.join(alone, F.col("h1") == F.col("sid"), "left").where(F.coalesce("alone", F.lit(0)) <= F.floor(F.col("n") * (100 - percent) / 100))
+    may = may.select(F.col("rep").alias("doc_id"), F.col("h1").alias("s1"), F.col("h2").alias("s2"))
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done = 0
-            for _, data, bounds in steps(batch.column(0), batch.column(1)):
+            for ids, data, bounds in steps(batch.column(0), batch.column(1)):
                 grams, at = shingles(data, bounds, size)
                 h1, h2 = digests(grams, at)
-                keys = order_keys(grams, at, *known.value)
                 some = batch.slice(done, len(h1))
                 done += len(h1)
                 mine = np.flatnonzero((h1 == some["s1"].to_numpy()) & (h2 == some["s2"].to_numpy()))
-                taken = some.take(pa.array(mine))
-                yield pa.RecordBatch.from_arrays(
-                    [*(taken[c] for c in ("doc_id", "s1", "s2", "block", "parts")), pa.array([keys[at[i] : at[i + 1]].tobytes() for i in mine], pa.binary())],
-                    names=["doc_id", "h1", "h2", "block", "parts", "keys"],
-                )
-
-    full = docs.join(placed, "doc_id").select("doc_id", "text", "s1", "s2", "block", "parts")
-    full = full.mapInArrow(sets, "doc_id long, h1 long, h2 long, block long, parts int, keys binary")
-    part = F.pmod("h2", F.col("parts")).cast("int")
-    pairs = full.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+                keys = pa.array([grams[at[i] : at[i + 1]].tobytes() for i in mine], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(h1[mine]), pa.array(h2[mine]), pa.array(np.diff(at)[mine]), keys], names=["h1", "h2", "n", "keys"])
+
+    sets = stage(docs.join(may, "doc_id").mapInArrow(take, "h1 long, h2 long, n long, keys binary"), "join-sets")
+    # blocks
+    left = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    some = n_buckets(spark, left, BUCKET_TOKENS)
+    counts = sets.mapInArrow(lambda it: _all_rows(it, some), _ENTRIES).groupBy("bucket").applyInArrow(_counts, "sid long, keys binary, number binary")
+    by_set = counts.groupBy("sid").agg(F.collect_list(F.struct("keys", "number")).alias("found"))
+    by_set = by_set.join(sets.select(F.col("h1").alias("sid"), "n"), "sid").select("sid", "n", F.col("found.keys").alias("keys"), F.col("found.number").alias("numbers"))
+    entries = by_set.mapInArrow(lambda it: _prefix_rows(it, percent, some), _ENTRIES)
+    inside = components(entries.groupBy("bucket").applyInArrow(_edges, "a long, b long"), "join-blocks")
+    members = inside.select(F.col("v").alias("h1"), F.col("root").alias("block")).union(inside.select("root", "root").distinct())
+    parts = members.groupBy("block").agg(F.ceil(F.count("*") / block_sets).cast("int").alias("parts"))
+    # links
+    placed = sets.join(members, "h1").join(parts, "block").withColumn("part", F.pmod("h2", F.col("parts")).cast("int"))
+    pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     pairs = pairs.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")}).drop("other", "parts")
-    n_tasks = n_buckets(spark, tokens, TASK_TOKENS)
-    dealt = pairs.withColumn("task", F.pmod(F.xxhash64("block", "i", "j"), F.lit(n_tasks)))
+    dealt = pairs.withColumn("task", F.pmod(F.xxhash64("block", "i", "j"), F.lit(some)))
     links = dealt.groupBy("task").applyInArrow(lambda t: _links(t, percent), "a long, b long")
     roots = components(links, "join-links")
-    of_set = distinct.join(roots, F.col("rep") == F.col("v"), "left").select("h1", "h2", F.coalesce("root", "rep").alias("component_id"))
+    named = distinct.join(roots, F.col("h1") == F.col("v"), "left").select("h1", "h2", F.coalesce("root", "h1").alias("root"), "rep")
+    least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
+    of_set = named.join(least, "root").select("h1", "h2", "component_id")
     found = rows.join(of_set, ["h1", "h2"], "left")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return found.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
