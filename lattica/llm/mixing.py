@@ -126,7 +126,7 @@ def mix(
     placed = place_documents(sizes)
     last = F.floor((F.col("start") + F.col("size") - 1) / block_words)
     touched = F.when(F.col("size") > 0, F.sequence(F.floor(F.col("start") / block_words), last))
-    rows = placed.withColumn("block", F.explode_outer(touched)).join(copies, [*SRC, "block"], "left")
+    rows = placed.withColumn("block", F.explode_outer(touched)).join(copies.hint("merge"), [*SRC, "block"], "left")
     begin = F.greatest(F.col("block") * block_words, F.col("start"))
     end = F.least((F.col("block") + 1) * block_words, F.col("start") + F.col("size"))
     piece = F.struct((begin - F.col("start")).alias("first"), (end - begin).alias("n"), F.col("copies"))
