@@ -40,48 +40,23 @@ def phrases(data: np.ndarray, bounds: np.ndarray, window: int = WINDOW, key: int
     n = len(data) - window + 1
     if n <= 0:
         return tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.int64, np.int64))
-    # the least key of each window, and the leftmost place of it: minima over doubling spans
-    least, span = keys, 1
+    # the least key of each window, the leftmost of equals: minima over doubling spans of keys with their place in the low bits
+    low = np.uint64((1 << int(len(keys)).bit_length()) - 1)
+    least, span = (keys & ~low) | np.arange(len(keys), dtype=np.uint64), 1
     while 2 * span <= wide:
         least, span = np.minimum(least[:-span], least[span:]), 2 * span
-    least = np.minimum(least[: n], least[wide - span : wide - span + n])
+    least = (np.minimum(least[:n], least[wide - span : wide - span + n]) & low).astype(np.int64)
     # windows that cross a bound hold no string of one text
-    sizes = np.diff(bounds)
-    text = np.repeat(np.arange(len(sizes)), np.maximum(sizes - window + 1, 0))
-    inside = np.repeat(bounds[:-1] - np.concatenate([[0], np.cumsum(np.maximum(sizes - window + 1, 0))[:-1]]), np.maximum(sizes - window + 1, 0)) + np.arange(len(text))
-    own = least[inside]
-    # a phrase: windows of one text in a row whose least key is the same occurrence
-    place = _leftmost(keys, inside, own, wide)
+    count = np.maximum(np.diff(bounds) - window + 1, 0)
+    text = np.repeat(np.arange(len(count)), count)
+    inside = np.repeat(bounds[:-1] - (np.cumsum(count) - count), count) + np.arange(len(text))
+    # a phrase: windows of one text in a row with the same trigger
+    place = least[inside]
     new = np.ones(len(text), bool)
     new[1:] = (place[1:] != place[:-1]) | (text[1:] != text[:-1])
     start = np.flatnonzero(new)
     stop = np.append(start[1:], len(text)) - 1 if len(start) else start
-    return text[start], own[start], inside[start], inside[stop]
-
-
-def _leftmost(keys: np.ndarray, windows: np.ndarray, least: np.ndarray, wide: int) -> np.ndarray:
-    """Place of each window's least key, the first of equals: carried on from window to window while it stays inside."""
-    ends = np.ones(len(windows), bool)  # where the least is not that of the window before, or has moved
-    ends[1:] = (least[1:] != least[:-1]) | (windows[1:] != windows[:-1] + 1)
-    place = np.full(len(windows), -1, np.int64)
-    todo = np.flatnonzero(ends)
-    while len(todo):
-        found = np.full(len(todo), -1, np.int64)
-        for i in range(wide):
-            at = windows[todo] + i
-            hit = (found < 0) & (keys[at] == least[todo])
-            found[hit] = at[hit]
-        place[todo] = found
-        carried = np.maximum.accumulate(np.where(place >= 0, np.arange(len(place)), 0))
-        filled = place[carried]
-        todo = np.flatnonzero((place < 0) & (filled < windows))
-        if len(todo):  # a least key repeats in the run: look again from the first window that lost it
-            first = np.ones(len(todo), bool)
-            first[1:] = carried[todo[1:]] != carried[todo[:-1]]
-            todo = todo[first]
-        else:
-            place = filled
-    return place
+    return text[start], keys[place[start]], inside[start], inside[stop]
 
 
 def _deal(bucket: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
