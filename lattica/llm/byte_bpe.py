@@ -15,7 +15,7 @@ from __future__ import annotations
 import base64
 import json
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 from heapq import heapify, heappop, heappush
 
@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import n_buckets, stage
+from lattica.llm.common import let, n_buckets, stage
 from lattica.llm.packed import Ranges, steps
 
 #: Largest dictionary of distinct pieces, in bytes, that is sent to every worker; beyond it texts and pieces meet by shuffle.
@@ -69,11 +69,6 @@ def rank_literal(ranks: dict[bytes, int]) -> Column:
     return F.from_json(F.lit(json.dumps(cells, separators=(",", ":"))), "array<map<string,int>>")
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of ``value``, which is computed once: lambdas are interpreted, and repeat what they repeat."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def fold_merges(chars: Column, table: Column, size: int) -> Column:
     """The tokens of one piece (``chars``: its bytes as characters) as array<string>.
 
@@ -82,7 +77,7 @@ def fold_merges(chars: Column, table: Column, size: int) -> Column:
     none = F.lit(2**31 - 1)
 
     def rank(pair: Column) -> Column:
-        return _let(pair, lambda key: F.coalesce(F.element_at(F.get(table, F.crc32(key).bitwiseAND(F.lit(size - 1)).cast("int")), key), none))
+        return let(pair, lambda key: F.coalesce(F.element_at(F.get(table, F.crc32(key).bitwiseAND(F.lit(size - 1)).cast("int")), key), none))
 
     def one(there: Column, pair: Column) -> Column:
         return F.when(there, F.array(rank(pair))).otherwise(F.array().cast("array<int>"))
@@ -98,17 +93,17 @@ def fold_merges(chars: Column, table: Column, size: int) -> Column:
 
         def lowest(low: Column) -> Column:
             def found(at: Column) -> Column:
-                return _let(F.concat(F.get(p, at - 1), F.get(p, at)), lambda both: merge_at(p, r, at, both))
+                return let(F.concat(F.get(p, at - 1), F.get(p, at)), lambda both: merge_at(p, r, at, both))
 
-            return F.when(F.coalesce(low, none) == none, state).otherwise(_let(F.array_position(r, low).cast("int"), found))
+            return F.when(F.coalesce(low, none) == none, state).otherwise(let(F.array_position(r, low).cast("int"), found))
 
-        return _let(F.array_min(r), lowest)
+        return let(F.array_min(r), lowest)
 
     def start(parts: Column) -> Column:
         ranks = F.transform(F.sequence(F.lit(0), F.size(parts) - 2), lambda i: rank(F.concat(F.get(parts, i), F.get(parts, i + 1))))
         return F.aggregate(F.sequence(F.lit(2), F.size(parts)), F.struct(parts.alias("p"), ranks.alias("r")), merge, lambda s: s["p"])
 
-    return F.when((F.length(chars) < 2) | (rank(chars) < none), F.array(chars)).otherwise(_let(F.split(chars, ""), start))
+    return F.when((F.length(chars) < 2) | (rank(chars) < none), F.array(chars)).otherwise(let(F.split(chars, ""), start))
 
 
 def merge_by_heap(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -148,7 +143,7 @@ def encode_words(words: DataFrame, ranks: dict[bytes, int], longest_folded: int
             hexed = F.transform(ids, lambda i: F.lpad(F.hex(i), 8, "0"))
             return F.struct(F.unhex(F.array_join(hexed, "")).alias("ids"), F.size(tokens).alias("n"))
 
-        return _let(fold_merges(chars, table, size), packed)
+        return let(fold_merges(chars, table, size), packed)
 
     short = words.where(F.octet_length("word") <= longest_folded)
     folded = short.select("word", F.inline(F.transform(F.array(rank_literal(ranks)), coded)))

@@ -16,7 +16,7 @@ texts of a batch at once.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,7 +33,6 @@ BITS, EPOCHS, RATE, L2, SEED = 17, 4, 0.05, 1e-6, 5
 LEXICON_WORDS = 2000
 #: Words of one step of labelling; texts are never cut.
 STEP_WORDS = 1 << 18
-_LETTERS = r"\p{L}"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -244,8 +243,8 @@ def training_rows(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAG
     return [x for lang in sorted(taken) for x in taken[lang]]
 
 
-def label(docs: DataFrame, model: Model, word_labels: bool = False) -> DataFrame:
-    """doc_id, lang_pred, score and, on demand, ``labels``: the language of each word of ``words``.
+def label(docs: DataFrame, model: Model, word_labels: bool = False, carry: Sequence[str] = ()) -> DataFrame:
+    """doc_id, lang_pred, score, the columns of ``carry`` and, on demand, ``labels``: the language of each word of ``words``.
 
     ``score`` is the mean probability of the predicted language over the words.
     A text that is null or has no letter is ``und`` with score 0, as is every
@@ -257,8 +256,10 @@ def label(docs: DataFrame, model: Model, word_labels: bool = False) -> DataFrame
     model_sent = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, lang_pred string, score double" + (", words array<string>, labels array<string>" if word_labels else "")
+    names = [f.split()[0] for f in schema.split(", ")] + [f"carried_{i}" for i in range(len(carry))]
+    schema += "".join(f", carried_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
 
-    def some(keys: pa.Array, texts: pa.Array, model: Model) -> pa.RecordBatch:
+    def some(keys: pa.Array, texts: pa.Array, carried: list[pa.Array], model: Model) -> pa.RecordBatch:
         words = pc.split_pattern(texts, " ")
         flat = words.flatten()
         real = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
@@ -280,7 +281,7 @@ def label(docs: DataFrame, model: Model, word_labels: bool = False) -> DataFrame
             offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
             chosen = languages[probable.argmax(1)] if k else np.full(len(flat), UNDETERMINED, dtype=object)
             columns += [pa.ListArray.from_arrays(offsets, flat), pa.ListArray.from_arrays(offsets, pa.array(chosen, pa.string()))]
-        return pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in schema.split(", ")])
+        return pa.RecordBatch.from_arrays(columns + carried, names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_sent.value
@@ -290,10 +291,13 @@ def label(docs: DataFrame, model: Model, word_labels: bool = False) -> DataFrame
             while at < batch.num_rows:
                 before = size[at - 1] if at else 0
                 to = max(at + 1, int(np.searchsorted(size, before + 6 * STEP_WORDS, "right")))
-                yield some(batch.column(0).slice(at, to - at), batch.column(1).slice(at, to - at), model)
+                part = batch.slice(at, to - at)
+                yield some(part.column(0), part.column(1), part.columns[2:], model)
                 at = to
 
-    return docs.select("doc_id", letters_only(F.col("text")).alias("text")).mapInArrow(run, schema)
+    carried = [F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)]
+    labelled = docs.select("doc_id", letters_only(F.col("text")).alias("text"), *carried).mapInArrow(run, schema)
+    return labelled.withColumnsRenamed({f"carried_{i}": c for i, c in enumerate(carry)})
 
 
 def held_out(doc_id: Column) -> Column:

@@ -10,6 +10,7 @@ MODULES = {
     "op2_url_filter": "url_filter",
     "op3_exact_topk": "exact_topk",
     "op5_ngram_join": "ngram_join",
+    "op6_pii": "pii",
     "op7_prefix_free": "prefix_free",
     "op8_line_dedup": "line_dedup",
     "op9_mix_sources": "mixing",
