@@ -37,6 +37,7 @@ COUNTED = np.uint64(1 << 63)
 _FEATURES = "doc_id long, h1 long, h2 long, n long"
 _ONCE = "bucket int, keys binary, sids binary, runs binary"
 _ENTRIES = "bucket int, a binary, b binary"
+_SHARED = "part int, keys binary, sids binary, number binary"
 
 
 def shingles(data: np.ndarray, bounds: np.ndarray, size: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -141,8 +142,8 @@ def _counted_rows(batches: Iterator[pa.RecordBatch], size: int, buckets: int) ->
             yield _batch(rows, _ONCE)
 
 
-def _alone(table: pa.Table) -> pa.Table:
-    """Of a bucket: how many shingles each set has that no other has."""
+def _alone(table: pa.Table, parts: int) -> pa.Table:
+    """Of a bucket: how many shingles each set has that no other has, packed by parts of the sets."""
     raw = np.frombuffer(b"".join(table["keys"].to_pylist()), np.uint8).reshape(-1, 6)
     keys = np.zeros((len(raw), 8), np.uint8)
     keys[:, :6] = raw
@@ -154,7 +155,15 @@ def _alone(table: pa.Table) -> pa.Table:
     starts = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
     alone = (np.minimum.reduceat(s, starts) == np.maximum.reduceat(s, starts)) & ~np.logical_or.reduceat(m, starts)
     sid, n = np.unique(s[starts[alone]], return_counts=True)
-    return pa.table({"sid": pa.array(sid), "alone": pa.array(n)})
+    order, cuts, full = _deal(_bucket_of(sid.view(np.uint64), parts), parts)
+    sid, n = sid[order], n[order].astype(np.int32)
+    return pa.Table.from_batches([_batch([(int(i), sid[cuts[i] : cuts[i + 1]].tobytes(), n[cuts[i] : cuts[i + 1]].tobytes()) for i in full], _ENTRIES)])
+
+
+def _sums(table: pa.Table) -> pa.Table:
+    sids, counts = np.frombuffer(b"".join(table["a"].to_pylist()), np.int64), np.frombuffer(b"".join(table["b"].to_pylist()), np.int32)
+    sid, inverse = np.unique(sids, return_inverse=True)
+    return pa.table({"sid": pa.array(sid), "alone": pa.array(np.bincount(inverse, counts, len(sid)).astype(np.int64))})
 
 
 def _set_keys(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
@@ -162,6 +171,12 @@ def _set_keys(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
         yield sid, np.frombuffer(raw, np.uint64)
 
 
+def _in_parts(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        part = _bucket_of(batch["h1"].to_numpy().view(np.uint64), parts).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part)], names=["h1", "n", "of_part"])
+
+
 def _all_rows(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """All shingles of the sets that are left, by bucket, with their set."""
     for batch in batches:
@@ -174,30 +189,30 @@ def _all_rows(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Re
             yield _batch([(int(i), keys[cuts[i] : cuts[i + 1]].tobytes(), sids[cuts[i] : cuts[i + 1]].tobytes()) for i in full], _ENTRIES)
 
 
-def _counts(table: pa.Table) -> pa.Table:
-    """Of a bucket: each set's shingles that others have too, and how many sets have them."""
+def _counts(table: pa.Table, parts: int) -> pa.Table:
+    """Of a bucket: each set's shingles that others have too, and how many sets have them, packed by parts of the sets."""
     keys, sids = np.frombuffer(b"".join(table["a"].to_pylist()), np.uint64), np.frombuffer(b"".join(table["b"].to_pylist()), np.int64)
     _, inverse, number = np.unique(keys, return_inverse=True, return_counts=True)
     number = number[inverse]
-    keys, sids, number = keys[number > 1], sids[number > 1], number[number > 1]
-    order = np.argsort(sids, kind="stable")
-    keys, sids, number = keys[order], sids[order], number[order].astype(np.uint32)
-    starts = np.flatnonzero(np.append(True, sids[1:] != sids[:-1])) if len(sids) else np.zeros(0, np.int64)
-    cuts = np.append(starts, len(sids))
-    parts = [(int(sids[a]), keys[a:b].tobytes(), number[a:b].tobytes()) for a, b in zip(cuts, cuts[1:])]
-    return pa.Table.from_batches([_batch(parts, "sid long, keys binary, number binary")])
+    keys, sids, number = keys[number > 1], sids[number > 1], number[number > 1].astype(np.uint32)
+    order, cuts, full = _deal(_bucket_of(sids.view(np.uint64), parts), parts)
+    keys, sids, number = keys[order], sids[order], number[order]
+    rows = [(int(i), *(x[cuts[i] : cuts[i + 1]].tobytes() for x in (keys, sids, number))) for i in full]
+    return pa.Table.from_batches([_batch(rows, _SHARED)])
 
 
-def _prefix_rows(batches: Iterator[pa.RecordBatch], percent: int, buckets: int) -> Iterator[pa.RecordBatch]:
+def _prefixes(counts: pa.Table, sizes: pa.Table, percent: int, buckets: int) -> pa.Table:
     """The rarest shingles of each set that it must share with what it links to; those that it has alone are its rarest."""
-    for batch in batches:
-        keys, sids = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for sid, n, parts, numbers in zip(*(batch[c].to_pylist() for c in ("sid", "n", "keys", "numbers"))):
-            own, number = np.frombuffer(b"".join(parts), np.uint64), np.frombuffer(b"".join(numbers), np.uint32)
-            take = max(n - required(n, percent) + 1 - (n - len(own)), 0)
-            keys.append(own[np.lexsort((own, number))[:take]])
-            sids.append(np.full(len(keys[-1]), sid))
-        yield from _send(np.concatenate(keys), np.concatenate(sids), buckets)
+    keys, sids, number = (np.frombuffer(b"".join(counts[c].to_pylist()), t) for c, t in (("keys", np.uint64), ("sids", np.int64), ("number", np.uint32)))
+    order = np.lexsort((keys, number, sids))
+    keys, sids = keys[order], sids[order]
+    sid, first, shared = np.unique(sids, return_index=True, return_counts=True)
+    known, n = sizes["h1"].to_numpy(), sizes["n"].to_numpy()
+    by_id = np.argsort(known)
+    n = n[by_id][np.searchsorted(known[by_id], sid)] if len(sid) else first
+    take = np.clip(n - required(n, percent) + 1 - (n - shared), 0, shared)
+    chosen = np.arange(len(keys)) - np.repeat(first, shared) < np.repeat(take, shared)
+    return pa.Table.from_batches(list(_send(keys[chosen], sids[chosen], buckets)))
 
 
 def _connect(keys: np.ndarray, sids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -363,8 +378,8 @@ def link_components(docs: DataFrame, size: int = WORDS, percent: int = PERCENT,
     tokens = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = n_buckets(spark, tokens // 2, BUCKET_TOKENS)
     # sets that can link
-    counted = docs.mapInArrow(lambda it: _counted_rows(it, size, buckets), _ONCE).groupBy("bucket").applyInArrow(_alone, "sid long, alone long")
-    alone = counted.groupBy("sid").agg(F.sum("alone").alias("alone"))
+    counted = docs.mapInArrow(lambda it: _counted_rows(it, size, buckets), _ONCE).groupBy("bucket").applyInArrow(lambda t: _alone(t, buckets), _ENTRIES)
+    alone = counted.withColumnRenamed("bucket", "part").groupBy("part").applyInArrow(_sums, "sid long, alone long")
     distinct = rows.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"))
     may = distinct.join(alone, F.col("h1") == F.col("sid"), "left").where(F.coalesce("alone", F.lit(0)) <= F.floor(F.col("n") * (100 - percent) / 100))
     may = may.select(F.col("rep").alias("doc_id"), F.col("h1").alias("s1"), F.col("h2").alias("s2"))
@@ -385,10 +400,9 @@ def link_components(docs: DataFrame, size: int = WORDS, percent: int = PERCENT,
     # blocks
     left = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     some = n_buckets(spark, left, BUCKET_TOKENS)
-    counts = sets.mapInArrow(lambda it: _all_rows(it, some), _ENTRIES).groupBy("bucket").applyInArrow(_counts, "sid long, keys binary, number binary")
-    by_set = counts.groupBy("sid").agg(F.collect_list(F.struct("keys", "number")).alias("found"))
-    by_set = by_set.join(sets.select(F.col("h1").alias("sid"), "n"), "sid").select("sid", "n", F.col("found.keys").alias("keys"), F.col("found.number").alias("numbers"))
-    entries = by_set.mapInArrow(lambda it: _prefix_rows(it, percent, some), _ENTRIES)
+    counts = sets.mapInArrow(lambda it: _all_rows(it, some), _ENTRIES).groupBy("bucket").applyInArrow(lambda t: _counts(t, some), _SHARED)
+    sizes = sets.select("h1", "n").mapInArrow(lambda it: _in_parts(it, some), "h1 long, n long, of_part int")
+    entries = counts.groupBy("part").cogroup(sizes.groupBy("of_part")).applyInArrow(lambda c, s: _prefixes(c, s, percent, some), _ENTRIES)
     inside = components(entries.groupBy("bucket").applyInArrow(_edges, "a long, b long"), "join-blocks")
     members = inside.select(F.col("v").alias("h1"), F.col("root").alias("block")).union(inside.select("root", "root").distinct())
     parts = members.groupBy("block").agg(F.ceil(F.count("*") / block_sets).cast("int").alias("parts"))
