@@ -1,0 +1 @@
+"""Estimation is batch only: a within transform needs every row of a group, so there is no streaming form."""
