@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -69,6 +70,12 @@ def unstage(df: DataFrame) -> None:
             _delete(df.sparkSession, path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop shuffle files of frames that nothing refers to any more: it does so as the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)

@@ -4,14 +4,17 @@ Triggers cut every text into phrases: a byte is a trigger where the rolling hash
 of the ``KEY`` bytes from it is the least of those that a window of ``window``
 bytes over it holds.  A phrase runs from the first window that has the trigger
 to the end of the last, so every window lies in exactly one phrase, and equal
-windows have equal triggers at equal offsets.  A trigger that only one text has
-can't be in a repeat; the other phrases are dealt by their trigger.  There the
-dictionary of distinct phrases gets its suffix array, sorted by the first
-``window`` bytes: suffixes with that much in common stand together, and the
-parse - which texts have which phrase, and where - turns their least text into
-the bytes to remove.  No order of suffixes of different triggers is needed, so
-no task holds more than its share of the dictionary, and repeated text is in it
-once per step of texts.
+windows have equal triggers at equal offsets.
+
+The parse - which text has which phrases, as hashes - is dealt by trigger.  A
+phrase that a text of a smaller doc_id also has goes whole.  What is left of
+each phrase is its first text; its windows can only repeat in another phrase of
+the same trigger, as happens where a repeat begins or ends.  So just the phrases
+of triggers with several are sent as text.  They are the dictionary, and its
+suffix array, sorted by the first ``window`` bytes, puts suffixes with that much
+in common together; the parse turns the least text of each such interval into
+bytes to remove.  Suffixes of different triggers need no order, so no task holds
+more than its share of the dictionary.
 """
 
 from __future__ import annotations
@@ -23,23 +26,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import n_buckets, stage
+from lattica.llm.common import n_buckets, release, stage
 from lattica.llm.packed import Ranges, mix, steps
 
 WINDOW, KEY = 50, 20
 BUCKET_BYTES = 24 << 20
-_KEYS = "bucket int, keys binary, docs binary"
-_PHRASES = "bucket int, triggers binary, phrases binary, sizes binary, text binary, which binary, docs binary, places binary"
+#: Windows whose suffix array is sorted at once.
+SORT_WINDOWS = 400_000
+_PARSE = "bucket int, phrases binary, docs binary, runs binary"
+_FOUND = "part int, docs binary, phrases binary, triggers binary"
+_ASKED = "doc_id long, phrases binary, triggers binary"
 _RUNS = "doc_id long, starts binary, stops binary"
+_PHRASES = "bucket int, triggers binary, phrases binary, sizes binary, text binary, which binary, docs binary, places binary"
+_LOW48 = np.uint64(2**48 - 1)
 
 
 def phrases(data: np.ndarray, bounds: np.ndarray, window: int = WINDOW, key: int = KEY) -> tuple[np.ndarray, ...]:
-    """(text, trigger hash, first window, last window) of every phrase, in order; places count in ``data``."""
-    keys = Ranges(data).hash_width(key)
+    """(text, trigger hash, first window, last window, hash) of every phrase, in order; places count in ``data``."""
+    ranges = Ranges(data)
+    keys = ranges.hash_width(key)
     wide = window - key + 1  # keys in a window
     n = len(data) - window + 1
     if n <= 0:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.int64, np.int64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.int64, np.int64, np.uint64))
     # the least key of each window, the leftmost of equals: minima over doubling spans of keys with their place in the low bits
     low = np.uint64((1 << int(len(keys)).bit_length()) - 1)
     least, span = (keys & ~low) | np.arange(len(keys), dtype=np.uint64), 1
@@ -56,7 +65,8 @@ def phrases(data: np.ndarray, bounds: np.ndarray, window: int = WINDOW, key: int
     new[1:] = (place[1:] != place[:-1]) | (text[1:] != text[:-1])
     start = np.flatnonzero(new)
     stop = np.append(start[1:], len(text)) - 1 if len(start) else start
-    return text[start], keys[place[start]], inside[start], inside[stop]
+    first, last, trigger = inside[start], inside[stop], keys[place[start]]
+    return text[start], trigger, first, last, mix(ranges.hash(first, last + window) ^ trigger)
 
 
 def _deal(bucket: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -69,35 +79,45 @@ def _bucket_of(triggers: np.ndarray, buckets: int) -> np.ndarray:
     return (mix(triggers ^ np.uint64(0xA5A5A5A5)) % np.uint64(buckets)).astype(np.int64)
 
 
-def _short(triggers: np.ndarray) -> np.ndarray:
-    """48 of the 64 bits: where two triggers share them, both are looked at, which does no harm."""
-    return np.frombuffer(triggers.astype("<u8").tobytes(), np.uint8).reshape(-1, 8)[:, :6].copy()
+def _pack48(*columns: np.ndarray) -> bytes:
+    """48 bits of each number; of triggers that share them each is looked at, which does no harm."""
+    wide = np.column_stack([c.astype("<u8") for c in columns])
+    return np.frombuffer(wide.tobytes(), np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
 
-def _key_rows(batches: Iterator[pa.RecordBatch], window: int, key: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Each trigger of a step once: with its text if one text has it, else also flagged here for all of them (bucket -1)."""
+def _unpack48(parts: list[bytes], columns: int) -> np.ndarray:
+    raw = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, 6)
+    wide = np.zeros((len(raw), 8), np.uint8)
+    wide[:, :6] = raw
+    return wide.view("<u8").reshape(-1, columns).T
+
+
+def _parse_rows(batches: Iterator[pa.RecordBatch], window: int, key: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Each phrase of a step once, with its least text, by bucket of the trigger; the texts above that in rows with bucket -1."""
     for batch in batches:
         for ids, data, bounds in steps(batch.column(0), batch.column(1)):
-            text, trigger, _, _ = phrases(data, bounds, window, key)
-            ids = ids.to_numpy()
-            t, d = trigger, ids[text]
-            order = np.lexsort((d, t))
-            t, d = t[order], d[order]
-            again = np.zeros(len(t), bool)
-            again[1:] = (t[1:] == t[:-1]) & (d[1:] == d[:-1])
-            t, d = t[~again], d[~again]
-            first = np.ones(len(t), bool)
-            first[1:] = t[1:] != t[:-1]
-            alone = first & np.append(first[1:], True)
+            text, trigger, _, _, phrase = phrases(data, bounds, window, key)
+            doc = ids.to_numpy()[text]
+            order = np.lexsort((doc, phrase))
+            t, p, d = trigger[order], phrase[order], doc[order]
+            first = np.ones(len(p), bool)
+            first[1:] = p[1:] != p[:-1]
+            least = d[np.maximum.accumulate(np.where(first, np.arange(len(p)), 0))] if len(p) else d
+            above = d > least
+            above[1:] &= (p[1:] != p[:-1]) | (d[1:] != d[:-1])
             rows = []
-            shared = ~alone
-            if shared.any():
-                rows.append((-1, _short(t[shared]).tobytes(), d[shared].tobytes()))
-            t, d = t[first], d[first]
-            order, cuts, full = _deal(_bucket_of(t, buckets), buckets)
-            packed, d = _short(t[order]), d[order]
-            rows += [(int(i), packed[cuts[i] : cuts[i + 1]].tobytes(), d[cuts[i] : cuts[i + 1]].tobytes()) for i in full]
-            yield _batch(rows, _KEYS)
+            if above.any():
+                rows.append((-1, _pack48(t[above], p[above]), d[above].tobytes(), np.ones(above.sum(), np.int32).tobytes()))
+            t, p, d = t[first], p[first], d[first]
+            order = np.lexsort((d, _bucket_of(t, buckets)))
+            t, p, d = t[order], p[order], d[order]
+            cuts = np.searchsorted(_bucket_of(t, buckets), np.arange(buckets + 1))
+            for i in np.flatnonzero(np.diff(cuts)):
+                own = d[cuts[i] : cuts[i + 1]]
+                starts = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+                runs = np.diff(np.append(starts, len(own))).astype(np.int32)
+                rows.append((int(i), _pack48(t[cuts[i] : cuts[i + 1]], p[cuts[i] : cuts[i + 1]]), own[starts].tobytes(), runs.tobytes()))
+            yield _batch(rows, _PARSE)
 
 
 def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
@@ -107,64 +127,87 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(columns, fields)], names=[n for n, _ in fields])
 
 
-def _keys48(parts: list[bytes]) -> np.ndarray:
-    raw = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, 6)
-    wide = np.zeros((len(raw), 8), np.uint8)
-    wide[:, :6] = raw
-    return wide.view("<u8").ravel()
-
-
-def _flagged(table: pa.Table) -> pa.Table:
-    """doc_id and its triggers (48 bits) that another text also has."""
-    keys = _keys48(table["keys"].to_pylist())
-    docs = np.frombuffer(b"".join(table["docs"].to_pylist()), np.int64)
-    order = np.lexsort((docs, keys))
-    k, d = keys[order], docs[order]
-    if table["bucket"][0].as_py() >= 0 and len(k):
-        starts = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
-        sizes = np.diff(np.append(starts, len(k)))
-        several = np.repeat((sizes > 1) & (d[starts] != d[starts + sizes - 1]), sizes)
-        k, d = k[several], d[several]
-    order = np.lexsort((k, d))
-    k, d = k[order], d[order]
-    starts = np.flatnonzero(np.append(True, d[1:] != d[:-1])) if len(d) else np.zeros(0, np.int64)
-    cuts = np.append(starts, len(d))
-    return pa.table({"doc_id": pa.array(d[starts]), "keys": pa.array([k[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())})
+def _resolve(table: pa.Table, parts: int) -> pa.Table:
+    """Of a bucket, by text: phrases that go whole, and triggers whose phrases differ; packed by parts of the texts."""
+    t, p = _unpack48(table["phrases"].to_pylist(), 2)
+    d = np.repeat(np.frombuffer(b"".join(table["docs"].to_pylist()), np.int64), np.frombuffer(b"".join(table["runs"].to_pylist()), np.int32))
+    whole, differ = np.ones(len(p), bool), np.zeros(len(p), bool)
+    if table["bucket"][0].as_py() >= 0:
+        order = np.lexsort((d, p, t))
+        t, p, d = t[order], p[order], d[order]
+        trigger = np.append(True, t[1:] != t[:-1])
+        phrase = trigger | np.append(True, p[1:] != p[:-1])
+        starts = np.flatnonzero(phrase)
+        sizes = np.diff(np.append(starts, len(p)))
+        whole = d > np.repeat(d[starts], sizes)
+        at = np.flatnonzero(trigger)
+        several = np.add.reduceat(phrase.astype(np.int64), at) > 1
+        differ = ~whole & np.repeat(several, np.diff(np.append(at, len(p))))
+    rows = []
+    for number, (keep, hashes) in enumerate(((whole, p), (differ, t))):
+        docs, some = d[keep], hashes[keep]
+        order, cuts, full = _deal(_bucket_of(docs.view(np.uint64), parts), parts)
+        docs, some = docs[order], some[order]
+        for i in full:
+            cells = [_pack48(some[cuts[i] : cuts[i + 1]]), b""]
+            rows.append((int(i), docs[cuts[i] : cuts[i + 1]].tobytes(), cells[number], cells[1 - number]))
+    return pa.Table.from_batches([_batch(rows, _FOUND)])
+
+
+def _by_text(table: pa.Table) -> pa.Table:
+    """One row per text: its phrases that go whole, and its triggers whose phrases differ."""
+    kinds = {}
+    for name in ("phrases", "triggers"):
+        cells = [(d, h) for d, h in zip(table["docs"].to_pylist(), table[name].to_pylist()) if h]
+        docs, hashes = np.frombuffer(b"".join(d for d, _ in cells), np.int64), _unpack48([h for _, h in cells], 1)[0]
+        order = np.argsort(docs, kind="stable")
+        docs, hashes = docs[order], hashes[order]
+        starts = np.flatnonzero(np.append(True, docs[1:] != docs[:-1])) if len(docs) else np.zeros(0, np.int64)
+        cuts = np.append(starts, len(docs))
+        kinds[name] = {int(docs[a]): hashes[a:b].tobytes() for a, b in zip(cuts, cuts[1:])}
+    found = sorted(kinds["phrases"].keys() | kinds["triggers"].keys())
+    return pa.Table.from_batches([_batch([(d, kinds["phrases"].get(d, b""), kinds["triggers"].get(d, b"")) for d in found], _ASKED)])
+
+
+def _member(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    if not len(known):
+        return np.zeros(len(values), bool)
+    known = np.sort(known)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
 
 def _phrase_rows(batches: Iterator[pa.RecordBatch], window: int, key: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """The phrases of flagged triggers, by bucket: the distinct ones of this step, and who has them where."""
+    """Per text the runs of its phrases that go whole; and by bucket the phrases of triggers that differ, with who has them where."""
+    none = (None,) * 8
     for batch in batches:
         done = 0
         for ids, data, bounds in steps(batch.column(0), batch.column(1)):
-            mine = batch.column(2).slice(done, len(ids)).to_pylist()
+            asked = batch.slice(done, len(ids))
             done += len(ids)
-            text, trigger, first, last = phrases(data, bounds, window, key)
-            low = trigger & np.uint64((1 << 48) - 1)
-            cuts = np.searchsorted(text, np.arange(len(ids) + 1))
-            wanted = np.zeros(len(text), bool)
-            for i, parts in enumerate(mine):
-                known = np.unique(np.frombuffer(b"".join(parts), np.uint64))
-                own = low[cuts[i] : cuts[i + 1]]
-                if len(known) and len(own):
-                    wanted[cuts[i] : cuts[i + 1]] = known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own
-            text, trigger, first, last = text[wanted], trigger[wanted], first[wanted], last[wanted]
-            content = Ranges(data).hash(first, last + window)
-            bucket = _bucket_of(trigger, buckets)
-            ids = ids.to_numpy()
-            order, cuts, full = _deal(bucket, buckets)
-            rows = []
+            text, trigger, first, last, phrase = phrases(data, bounds, window, key)
+            ids, cuts = ids.to_numpy(), np.searchsorted(text, np.arange(len(ids) + 1))
+            whole, differ = np.zeros(len(text), bool), np.zeros(len(text), bool)
+            for i, (p, t) in enumerate(zip(asked.column(2).to_pylist(), asked.column(3).to_pylist())):
+                own = slice(cuts[i], cuts[i + 1])
+                whole[own] = _member(phrase[own] & _LOW48, np.frombuffer(p, np.uint64))
+                differ[own] = _member(trigger[own] & _LOW48, np.frombuffer(t, np.uint64)) & ~whole[own]
+            begin = bounds[text[whole]]
+            which, start, stop = _merged(text[whole], first[whole] - begin, last[whole] + window - begin)
+            edges = np.append(np.flatnonzero(np.append(True, which[1:] != which[:-1])), len(which)) if len(which) else np.zeros(1, np.int64)
+            rows = [(int(ids[which[a]]), start[a:b].tobytes(), stop[a:b].tobytes(), *none) for a, b in zip(edges, edges[1:])]
+            text, trigger, first, last, phrase = (x[differ] for x in (text, trigger, first, last, phrase))
+            order, cuts, full = _deal(_bucket_of(trigger, buckets), buckets)
             for i in full:
                 here = order[cuts[i] : cuts[i + 1]]
-                _, one, which = np.unique(content[here], return_index=True, return_inverse=True)
+                _, one, same = np.unique(phrase[here], return_index=True, return_inverse=True)
                 a, b = first[here[one]], last[here[one]] + window
                 size = b - a
                 at = np.repeat(a - (np.cumsum(size) - size), size) + np.arange(size.sum())
                 rows.append(
-                    (int(i), trigger[here[one]].tobytes(), content[here[one]].tobytes(), size.astype(np.int32).tobytes(), data[at].tobytes(),
-                     which.astype(np.int32).tobytes(), ids[text[here]].tobytes(), (first[here] - bounds[text[here]]).tobytes())
+                    (None, None, None, int(i), trigger[here[one]].tobytes(), phrase[here[one]].tobytes(), size.astype(np.int32).tobytes(), data[at].tobytes(),
+                     same.astype(np.int32).tobytes(), ids[text[here]].tobytes(), (first[here] - bounds[text[here]]).tobytes())
                 )
-            yield _batch(rows, _PHRASES)
+            yield _batch(rows, f"{_RUNS}, {_PHRASES}")
 
 
 def suffix_minima(text: np.ndarray, sizes: np.ndarray, least: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -195,7 +238,7 @@ def suffix_minima(text: np.ndarray, sizes: np.ndarray, least: np.ndarray, window
 
 
 def _removed(table: pa.Table, window: int) -> pa.Table:
-    """Runs of bytes to remove, by document, from all phrases of a bucket."""
+    """Runs of bytes to remove, by document, from all phrases of a bucket; some triggers at a time."""
     joined = {c: [x.as_py() for x in table[c]] for c in table.column_names[1:]}
     triggers, content = (np.frombuffer(b"".join(joined[c]), np.uint64) for c in ("triggers", "phrases"))
     sizes, text = np.frombuffer(b"".join(joined["sizes"]), np.int32).astype(np.int64), np.frombuffer(b"".join(joined["text"]), np.uint8)
@@ -209,35 +252,35 @@ def _removed(table: pa.Table, window: int) -> pa.Table:
     least = np.full(len(one), np.iinfo(np.int64).max)
     np.minimum.at(least, entry, docs)
     begin, size = (np.cumsum(sizes) - sizes)[one], sizes[one]
-    at = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
-    by_window, first = suffix_minima(text[at], size, least, window)
-    # the parse: windows whose least document is below their own, as runs
-    rows_doc, rows_start, rows_stop = [], [], []
-    step = 1 << 16
-    for a in range(0, len(entry), step):
-        e, d, p = entry[a : a + step], docs[a : a + step], places[a : a + step]
-        n = np.diff(first)[e]
-        ends = np.cumsum(n)
-        inner = np.arange(ends[-1]) - np.repeat(ends - n, n)
-        hit = by_window[np.repeat(first[e], n) + inner] < np.repeat(d, n)
-        occurrence = np.repeat(np.arange(len(e)), n)[hit]
-        start = (np.repeat(p, n) + inner)[hit]
-        fresh = np.ones(len(start), bool)
-        fresh[1:] = (start[1:] != start[:-1] + 1) | (occurrence[1:] != occurrence[:-1])
-        run = np.flatnonzero(fresh)
-        rows_doc.append(d[occurrence[run]])
-        rows_start.append(start[run])
-        rows_stop.append(start[np.append(run[1:], len(start)) - 1] + window if len(run) else run)
-    doc, start, stop = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows_doc, rows_start, rows_stop))
-    doc, start, stop = _merged(doc, start, stop)
+    groups = int((size - window + 1).sum()) // SORT_WINDOWS + 1
+    group = (mix(triggers[one]) >> np.uint64(8)) % np.uint64(groups)
+    found = []
+    for g in range(groups):
+        mine = np.flatnonzero(group == g)
+        at = np.repeat(begin[mine] - (np.cumsum(size[mine]) - size[mine]), size[mine]) + np.arange(size[mine].sum())
+        by_window, first = suffix_minima(text[at], size[mine], least[mine], window)
+        local = np.full(len(one), -1)
+        local[mine] = np.arange(len(mine))
+        held = np.flatnonzero(local[entry] >= 0)
+        found += [_runs_of(local[entry[h]], docs[h], places[h], by_window, first, window) for h in np.array_split(held, len(held) // (1 << 15) + 1)]
+    doc, start, stop = _merged(*(np.concatenate(x) for x in zip(*found)))
     cuts = np.append(np.flatnonzero(np.append(True, doc[1:] != doc[:-1])), len(doc)) if len(doc) else np.zeros(1, np.int64)
-    return pa.table(
-        {
-            "doc_id": pa.array(doc[cuts[:-1]], pa.int64()),
-            "starts": pa.array([start[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()),
-            "stops": pa.array([stop[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()),
-        }
-    )
+    return pa.Table.from_batches([_batch([(int(doc[a]), start[a:b].tobytes(), stop[a:b].tobytes()) for a, b in zip(cuts, cuts[1:])], _RUNS)])
+
+
+def _runs_of(entry, docs, places, by_window, first, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The parse: windows whose least document is below their own, as runs of bytes."""
+    n = np.diff(first)[entry]
+    ends = np.cumsum(n)
+    inner = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n, n)
+    hit = by_window[np.repeat(first[entry], n) + inner] < np.repeat(docs, n)
+    occurrence = np.repeat(np.arange(len(entry)), n)[hit]
+    start = (np.repeat(places, n) + inner)[hit]
+    fresh = np.ones(len(start), bool)
+    fresh[1:] = (start[1:] != start[:-1] + 1) | (occurrence[1:] != occurrence[:-1])
+    run = np.flatnonzero(fresh)
+    stop = start[np.append(run[1:], len(start)) - 1] + window if len(run) else run
+    return docs[occurrence[run]], start[run], stop
 
 
 def _merged(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -291,22 +334,30 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, key: int = KEY) -> Dat
     spark = docs.sparkSession
     lowest = -(2**63)
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    buckets = n_buckets(spark, total, BUCKET_BYTES)
-    keys = docs.mapInArrow(lambda it: _key_rows(it, window, key, buckets), _KEYS)
-    # what a step has found alone goes to random groups, as it needs no meeting
-    spread = keys.withColumn("to", F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(-1 - F.pmod(F.xxhash64("docs"), F.lit(buckets)).cast("int")))
-    flagged = spread.groupBy("to").applyInArrow(lambda t: _flagged(t), "doc_id long, keys binary")
-    by_doc = flagged.groupBy("doc_id").agg(F.collect_list("keys").alias("keys"))
-    asked = docs.join(by_doc, "doc_id").select("doc_id", "text", "keys")
-    found = asked.mapInArrow(lambda it: _phrase_rows(it, window, key, buckets), _PHRASES)
-    runs = found.groupBy("bucket").applyInArrow(lambda t: _removed(t, window), _RUNS)
-    runs = stage(runs.groupBy("doc_id").agg(F.collect_list("starts").alias("starts"), F.collect_list("stops").alias("stops")), "repeats-runs")
+    runs = _runs(docs, window, key)
+    release(spark)
     cut = docs.join(runs, "doc_id", "left").select("doc_id", "text", "starts", "stops")
     out = cut.mapInArrow(_cut_rows, "doc_id long, n_bytes long, starts array<long>, stops array<long>, kept binary")
     return out.withColumn("doc_id", F.when(F.col("doc_id") != lowest, F.col("doc_id")))
 
 
+def _runs(docs: DataFrame, window: int, key: int) -> DataFrame:
+    """(doc_id, starts, stops): lists of packed runs to remove, as a table."""
+    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    buckets = n_buckets(docs.sparkSession, total, BUCKET_BYTES)
+    parse = docs.mapInArrow(lambda it: _parse_rows(it, window, key, buckets), _PARSE)
+    # what a step resolved alone needs no meeting: it goes to groups of its own
+    own = -1 - F.pmod(F.xxhash64("docs"), F.lit(buckets)).cast("int")
+    dealt = parse.withColumn("group", F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(own))
+    found = dealt.groupBy("group").applyInArrow(lambda t: _resolve(t, buckets), _FOUND)
+    asked = docs.join(found.groupBy("part").applyInArrow(_by_text, _ASKED), "doc_id").select("doc_id", "text", "phrases", "triggers")
+    both = stage(asked.mapInArrow(lambda it: _phrase_rows(it, window, key, buckets), f"{_RUNS}, {_PHRASES}"), "repeats-phrases")
+    differ = both.where("bucket is not null").drop("doc_id", "starts", "stops")
+    edges = differ.groupBy("bucket").applyInArrow(lambda t: _removed(t, window), _RUNS)
+    all_runs = both.where("bucket is null").select("doc_id", "starts", "stops").union(edges)
+    return stage(all_runs.groupBy("doc_id").agg(F.collect_list("starts").alias("starts"), F.collect_list("stops").alias("stops")), "repeats-runs")
+
+
 def op7_prefix_free(spark, sf_dir: str) -> DataFrame:
     out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     removed = F.aggregate(F.zip_with("starts", "stops", lambda a, b: b - a), F.lit(0).cast("long"), lambda s, x: s + x)
