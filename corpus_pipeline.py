@@ -23,14 +23,14 @@ _SPACED_WORD = r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts that are in none of the labelled languages go: without a letter, or of no language in the mean.
-
-    A language that is null becomes the predicted one.
-    """
+    """Texts that are in none of the labelled languages go: without a letter, or of no language in the mean."""
     model = language_crf.fit(language_crf.training_rows(docs.select("text", "lang")))
-    labelled = language_crf.label(docs, model, carry=COLUMNS[1:])
-    kept = labelled.where((F.col("lang_pred") != language_crf.UNDETERMINED) & (F.col("score") >= MIN_LANGUAGE_SCORE))
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
+    keyed = docs.select(*COLUMNS, F.xxhash64("text").alias("text_key"))
+    labelled = language_crf.label(keyed.select("doc_id", "text", "text_key"), model, carry=["text_key"])
+    rejected = (F.col("lang_pred") == language_crf.UNDETERMINED) | (F.col("score") < MIN_LANGUAGE_SCORE)
+    gone = stage(labelled.where(rejected).select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct(), "pipeline-rejected")
+    same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("text_key") == F.col("gone_key"))
+    return keyed.join(gone, same, "left_anti").select(*COLUMNS)
 
 
 def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
