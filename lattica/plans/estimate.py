@@ -84,11 +84,11 @@ def fit(df: DataFrame, formula: str | Formula, spec: ModelSpec | None = None, op
     result.fe_levels = {c: absorbed.levels[d] for c, d in zip(fe, dims)}
     if dims:
         centred = gram(data.select(*[(F.col(c) - F.lit(float(m))).alias(c) for c, m in zip(numeric, means)]), numeric)
-        g, result.tss = centred - absorbed.correction, centred[0, 0]
+        g, result.tss = centred - absorbed.correction, float(centred[0, 0])
     else:
         g = gram(data, numeric)
         result.tss = max(0.0, data.agg(F.var_pop("y") * F.count("*")).first()[0] or 0.0)
-    result.tss_within = g[0, 0]
+    result.tss_within = float(g[0, 0])
     if not design:
         return result
 
@@ -148,7 +148,8 @@ def fit(df: DataFrame, formula: str | Formula, spec: ModelSpec | None = None, op
     if result.rss > tiny:
         result.f_stat = max(0.0, result.tss - result.rss) / len(kept) / (result.rss / result.df)
     if effects:
-        result.effects = dict(zip(fe, recovery.recover(absorbed, beta).values()))
+        found = recovery.recover(absorbed, beta)
+        result.effects = {c: found[d] for c, d in zip(fe, dims)}
     return result
 
 
