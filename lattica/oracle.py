@@ -84,9 +84,9 @@ SQL = {
     "fe_crossed_terms": _design(
         [("&".join(s), " * ".join(s)) for s in (("l_quantity",), ("l_discount",), ("l_tax",), ("l_quantity", "l_discount"), ("l_quantity", "l_tax"), ("l_discount", "l_tax"), ("l_quantity", "l_discount", "l_tax"))]
     ),
-    "fe_group_stats": f"WITH {LINES} SELECT l_suppkey, count(*) AS n, {_r('sum(price)', 4)} AS sum_price, {_r('avg(price)')} AS mean_price, "
-    f"{_r('sum(l_quantity)', 4)} AS sum_quantity, {_r('avg(l_quantity)')} AS mean_quantity FROM l GROUP BY l_suppkey",
-    "fe_demean_one": f"WITH {LINES} SELECT l_orderkey, l_linenumber, {_r('price - avg(price) OVER w', 5)} AS price, {_r('l_quantity - avg(l_quantity) OVER w', 5)} AS quantity FROM l WINDOW w AS (PARTITION BY l_suppkey)",
+    "fe_group_stats": f"WITH {LINES} SELECT l_suppkey, count(*) AS n, {_r('sum(price)', 4)} AS sum_price, {_r('avg(price)', 9)} AS mean_price, "
+    f"{_r('sum(l_quantity)', 4)} AS sum_quantity, {_r('avg(l_quantity)', 9)} AS mean_quantity FROM l GROUP BY l_suppkey",
+    "fe_demean_one": f"WITH {LINES} SELECT l_orderkey, l_linenumber, {_r('price - avg(price) OVER w', 9)} AS price, {_r('l_quantity - avg(l_quantity) OVER w', 9)} AS quantity FROM l WINDOW w AS (PARTITION BY l_suppkey)",
     "fe_gram_matrix": f"WITH {LINES}, h AS (SELECT price / 100 AS price, l_quantity / 100 AS l_quantity, l_discount / 100 AS l_discount, l_tax / 100 AS l_tax FROM l) "
     + " UNION ALL ".join(
         f"SELECT '{a}' AS a, '{b}' AS b, {_r(f'sum({a} * {b})', 4)} AS x FROM h"

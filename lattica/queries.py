@@ -87,7 +87,7 @@ def crossed_terms(spark, sf_dir):
 
 def group_stats(spark, sf_dir):
     stats = gram.group_stats(_lines(spark, sf_dir), "l_suppkey", ["price", "l_quantity"])
-    return stats.select("l_suppkey", "n", _r("sum_price", 4).alias("sum_price"), _r("mean_price").alias("mean_price"), _r("sum_l_quantity", 4).alias("sum_quantity"), _r("mean_l_quantity").alias("mean_quantity"))
+    return stats.select("l_suppkey", "n", _r("sum_price", 4).alias("sum_price"), _r("mean_price", 9).alias("mean_price"), _r("sum_l_quantity", 4).alias("sum_quantity"), _r("mean_l_quantity", 9).alias("mean_quantity"))
 
 
 def demean_one(spark, sf_dir):
@@ -96,7 +96,7 @@ def demean_one(spark, sf_dir):
     _, means = gram.moments(df, columns)
     absorbed = within.absorb(df, ["l_suppkey"], columns, means)
     rows = within.residualize(df, absorbed, ["l_suppkey"], keep=["l_orderkey", "l_linenumber"])
-    return rows.select("l_orderkey", "l_linenumber", _r("price", 5).alias("price"), _r("l_quantity", 5).alias("quantity"))
+    return rows.select("l_orderkey", "l_linenumber", _r("price", 9).alias("price"), _r("l_quantity", 9).alias("quantity"))
 
 
 def gram_matrix(spark, sf_dir):
