@@ -36,8 +36,8 @@ SORT_WINDOWS = 400_000
 _PARSE = "bucket int, phrases binary, docs binary, runs binary"
 _FOUND = "part int, docs binary, phrases binary, triggers binary"
 _ASKED = "doc_id long, phrases binary, triggers binary"
-_RUNS = "doc_id long, starts binary, stops binary"
-_PHRASES = "bucket int, triggers binary, phrases binary, sizes binary, text binary, which binary, docs binary, places binary"
+_RUNS = "doc_id long, text_key long, starts binary, stops binary"
+_PHRASES = "bucket int, triggers binary, phrases binary, sizes binary, text binary, which binary, docs binary, keys binary, places binary"
 _LOW48 = np.uint64(2**48 - 1)
 
 
@@ -178,7 +178,7 @@ def _member(values: np.ndarray, known: np.ndarray) -> np.ndarray:
 
 def _phrase_rows(batches: Iterator[pa.RecordBatch], window: int, key: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """Per text the runs of its phrases that go whole; and by bucket the phrases of triggers that differ, with who has them where."""
-    none = (None,) * 8
+    none = (None,) * 9
     for batch in batches:
         done = 0
         for ids, data, bounds in steps(batch.column(0), batch.column(1)):
@@ -186,6 +186,7 @@ def _phrase_rows(batches: Iterator[pa.RecordBatch], window: int, key: int, bucke
             done += len(ids)
             text, trigger, first, last, phrase = phrases(data, bounds, window, key)
             ids, cuts = ids.to_numpy(), np.searchsorted(text, np.arange(len(ids) + 1))
+            text_key = asked.column(4).to_numpy()
             whole, differ = np.zeros(len(text), bool), np.zeros(len(text), bool)
             for i, (p, t) in enumerate(zip(asked.column(2).to_pylist(), asked.column(3).to_pylist())):
                 own = slice(cuts[i], cuts[i + 1])
@@ -194,7 +195,7 @@ def _phrase_rows(batches: Iterator[pa.RecordBatch], window: int, key: int, bucke
             begin = bounds[text[whole]]
             which, start, stop = _merged(text[whole], first[whole] - begin, last[whole] + window - begin)
             edges = np.append(np.flatnonzero(np.append(True, which[1:] != which[:-1])), len(which)) if len(which) else np.zeros(1, np.int64)
-            rows = [(int(ids[which[a]]), start[a:b].tobytes(), stop[a:b].tobytes(), *none) for a, b in zip(edges, edges[1:])]
+            rows = [(int(ids[which[a]]), int(text_key[which[a]]), start[a:b].tobytes(), stop[a:b].tobytes(), *none) for a, b in zip(edges, edges[1:])]
             text, trigger, first, last, phrase = (x[differ] for x in (text, trigger, first, last, phrase))
             order, cuts, full = _deal(_bucket_of(trigger, buckets), buckets)
             for i in full:
@@ -204,8 +205,8 @@ def _phrase_rows(batches: Iterator[pa.RecordBatch], window: int, key: int, bucke
                 size = b - a
                 at = np.repeat(a - (np.cumsum(size) - size), size) + np.arange(size.sum())
                 rows.append(
-                    (None, None, None, int(i), trigger[here[one]].tobytes(), phrase[here[one]].tobytes(), size.astype(np.int32).tobytes(), data[at].tobytes(),
-                     same.astype(np.int32).tobytes(), ids[text[here]].tobytes(), (first[here] - bounds[text[here]]).tobytes())
+                    (None, None, None, None, int(i), trigger[here[one]].tobytes(), phrase[here[one]].tobytes(), size.astype(np.int32).tobytes(), data[at].tobytes(),
+                     same.astype(np.int32).tobytes(), ids[text[here]].tobytes(), text_key[text[here]].tobytes(), (first[here] - bounds[text[here]]).tobytes())
                 )
             yield _batch(rows, f"{_RUNS}, {_PHRASES}")
 
@@ -244,8 +245,14 @@ def _removed(table: pa.Table, window: int) -> pa.Table:
     sizes, text = np.frombuffer(b"".join(joined["sizes"]), np.int32).astype(np.int64), np.frombuffer(b"".join(joined["text"]), np.uint8)
     shift = np.concatenate([[0], np.cumsum([len(x) // 8 for x in joined["phrases"]])])
     which = np.concatenate([np.frombuffer(x, np.int32) + s for x, s in zip(joined["which"], shift)])
-    docs, places = (np.frombuffer(b"".join(joined[c]), np.int64) for c in ("docs", "places"))
+    docs, keys, places = (np.frombuffer(b"".join(joined[c]), np.int64) for c in ("docs", "keys", "places"))
     del joined
+    # rows are told apart by text as well: an id may repeat
+    order = np.lexsort((keys, docs))
+    fresh = np.append(True, (docs[order][1:] != docs[order][:-1]) | (keys[order][1:] != keys[order][:-1]))
+    row = np.empty(len(docs), np.int64)
+    row[order] = np.cumsum(fresh) - 1
+    of_row = order[fresh]
     # the dictionary: each phrase once, with the least document that has it
     _, one, same = np.unique(content, return_index=True, return_inverse=True)
     entry = same[which]
@@ -262,13 +269,14 @@ def _removed(table: pa.Table, window: int) -> pa.Table:
         local = np.full(len(one), -1)
         local[mine] = np.arange(len(mine))
         held = np.flatnonzero(local[entry] >= 0)
-        found += [_runs_of(local[entry[h]], docs[h], places[h], by_window, first, window) for h in np.array_split(held, len(held) // (1 << 15) + 1)]
-    doc, start, stop = _merged(*(np.concatenate(x) for x in zip(*found)))
-    cuts = np.append(np.flatnonzero(np.append(True, doc[1:] != doc[:-1])), len(doc)) if len(doc) else np.zeros(1, np.int64)
-    return pa.Table.from_batches([_batch([(int(doc[a]), start[a:b].tobytes(), stop[a:b].tobytes()) for a, b in zip(cuts, cuts[1:])], _RUNS)])
+        found += [_runs_of(local[entry[h]], docs[h], row[h], places[h], by_window, first, window) for h in np.array_split(held, len(held) // (1 << 15) + 1)]
+    row, start, stop = _merged(*(np.concatenate(x) for x in zip(*found)))
+    cuts = np.append(np.flatnonzero(np.append(True, row[1:] != row[:-1])), len(row)) if len(row) else np.zeros(1, np.int64)
+    runs = [(int(docs[of_row[row[a]]]), int(keys[of_row[row[a]]]), start[a:b].tobytes(), stop[a:b].tobytes()) for a, b in zip(cuts, cuts[1:])]
+    return pa.Table.from_batches([_batch(runs, _RUNS)])
 
 
-def _runs_of(entry, docs, places, by_window, first, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _runs_of(entry, docs, rows, places, by_window, first, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The parse: windows whose least document is below their own, as runs of bytes."""
     n = np.diff(first)[entry]
     ends = np.cumsum(n)
@@ -280,7 +288,7 @@ def _runs_of(entry, docs, places, by_window, first, window: int) -> tuple[np.nda
     fresh[1:] = (start[1:] != start[:-1] + 1) | (occurrence[1:] != occurrence[:-1])
     run = np.flatnonzero(fresh)
     stop = start[np.append(run[1:], len(start)) - 1] + window if len(run) else run
-    return docs[occurrence[run]], start[run], stop
+    return rows[occurrence[run]], start[run], stop
 
 
 def _merged(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -336,13 +344,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, key: int = KEY) -> Dat
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     runs = _runs(docs, window, key)
     release(spark)
-    cut = docs.join(runs, "doc_id", "left").select("doc_id", "text", "starts", "stops")
+    cut = docs.withColumn("text_key", F.xxhash64("text")).join(runs, ["doc_id", "text_key"], "left").select("doc_id", "text", "starts", "stops")
     out = cut.mapInArrow(_cut_rows, "doc_id long, n_bytes long, starts array<long>, stops array<long>, kept binary")
     return out.withColumn("doc_id", F.when(F.col("doc_id") != lowest, F.col("doc_id")))
 
 
 def _runs(docs: DataFrame, window: int, key: int) -> DataFrame:
-    """(doc_id, starts, stops): lists of packed runs to remove, as a table."""
+    """(doc_id, text_key, starts, stops): lists of packed runs to remove, as a table."""
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = n_buckets(docs.sparkSession, total, BUCKET_BYTES)
     parse = docs.mapInArrow(lambda it: _parse_rows(it, window, key, buckets), _PARSE)
@@ -350,12 +358,12 @@ def _runs(docs: DataFrame, window: int, key: int) -> DataFrame:
     own = -1 - F.pmod(F.xxhash64("docs"), F.lit(buckets)).cast("int")
     dealt = parse.withColumn("group", F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(own))
     found = dealt.groupBy("group").applyInArrow(lambda t: _resolve(t, buckets), _FOUND)
-    asked = docs.join(found.groupBy("part").applyInArrow(_by_text, _ASKED), "doc_id").select("doc_id", "text", "phrases", "triggers")
+    asked = docs.join(found.groupBy("part").applyInArrow(_by_text, _ASKED), "doc_id").select("doc_id", "text", "phrases", "triggers", F.xxhash64("text").alias("text_key"))
     both = stage(asked.mapInArrow(lambda it: _phrase_rows(it, window, key, buckets), f"{_RUNS}, {_PHRASES}"), "repeats-phrases")
-    differ = both.where("bucket is not null").drop("doc_id", "starts", "stops")
+    differ = both.where("bucket is not null").drop("doc_id", "text_key", "starts", "stops")
     edges = differ.groupBy("bucket").applyInArrow(lambda t: _removed(t, window), _RUNS)
-    all_runs = both.where("bucket is null").select("doc_id", "starts", "stops").union(edges)
-    return stage(all_runs.groupBy("doc_id").agg(F.collect_list("starts").alias("starts"), F.collect_list("stops").alias("stops")), "repeats-runs")
+    all_runs = both.where("bucket is null").select("doc_id", "text_key", "starts", "stops").union(edges)
+    return stage(all_runs.groupBy("doc_id", "text_key").agg(F.collect_list("starts").alias("starts"), F.collect_list("stops").alias("stops")), "repeats-runs")
 
 
 def op7_prefix_free(spark, sf_dir: str) -> DataFrame:
