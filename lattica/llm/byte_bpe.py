@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import let, n_buckets, stage
+from lattica.llm.common import let, n_buckets, small_batches, stage
 from lattica.llm.packed import Ranges, steps
 
 #: Largest dictionary of distinct pieces, in bytes, that is sent to every worker; beyond it texts and pieces meet by shuffle.
@@ -252,6 +252,7 @@ def encode(
     made count as neither letters nor digits.
     """
     spark: SparkSession = docs.sparkSession
+    small_batches(spark)
     cut = docs.select("doc_id", pieces(F.col("text"), pattern).alias("words"))
     words = stage(cut.select(F.explode("words").alias("word")).distinct(), "bpe-words")
     tasks = max(2 * spark.sparkContext.defaultParallelism, -(-words.count() // WORDS_EACH))

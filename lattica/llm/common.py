@@ -70,6 +70,13 @@ def unstage(df: DataFrame) -> None:
             _delete(df.sparkSession, path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1024) -> None:
+    """Hand texts to Python in batches of at most ``rows``.  Spark's 10,000 whole texts would be held several times over: in the JVM, in transit and in the worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark drop shuffle files of frames that nothing refers to any more: it does so as the driver collects garbage."""
     gc.collect()

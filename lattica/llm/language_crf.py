@@ -25,6 +25,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lattica.llm.common import small_batches
+
 UNDETERMINED = "und"
 #: What is learned from: so many rows of each language at most, and so many words of a row, at evenly spaced places.
 ROWS_PER_LANGUAGE, WORDS_PER_ROW = 400, 128
@@ -253,6 +255,7 @@ def label(docs: DataFrame, model: Model, word_labels: bool = False, carry: Seque
     doc_id and text are ignored.
     """
     languages, k = np.array([*model.languages, UNDETERMINED], dtype=object), len(model.languages)
+    small_batches(docs.sparkSession)
     model_sent = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, lang_pred string, score double" + (", words array<string>, labels array<string>" if word_labels else "")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import n_buckets, stage
+from lattica.llm.common import n_buckets, small_batches, stage
 from lattica.llm.packed import Ranges, components, min_labels, mix, steps
 
 WORDS, PERCENT = 5, 75
@@ -373,6 +373,7 @@ def link_components(docs: DataFrame, size: int = WORDS, percent: int = PERCENT,
     hashes, and sets are told apart by 128 bits and named by 64 of them.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = stage(docs.mapInArrow(lambda it: _feature_rows(it, size), _FEATURES), "join-features")
     tokens = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

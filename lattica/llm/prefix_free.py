@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import n_buckets, release, stage
+from lattica.llm.common import n_buckets, release, small_batches, stage
 from lattica.llm.packed import Ranges, mix, steps
 
 WINDOW, KEY = 50, 20
@@ -340,6 +340,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, key: int = KEY) -> Dat
     all.  Columns but doc_id (long) and text are ignored.
     """
     spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     lowest = -(2**63)
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     runs = _runs(docs, window, key)
