@@ -65,7 +65,8 @@ class Ranges:
 
 def steps(keys: pa.Array, texts: pa.Array) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
     """Rows in steps: their keys, all their bytes, and bounds of each text in them (null: empty)."""
-    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    blank = b"" if pa.types.is_binary(texts.type) else ""
+    texts = pc.fill_null(texts, blank).cast(pa.large_binary())
     sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
     while at < len(texts):

@@ -9,6 +9,7 @@ MODULES = {
     "op1_language_id": "language_crf",
     "op2_url_filter": "url_filter",
     "op3_exact_topk": "exact_topk",
+    "op4_chroma": "chroma",
     "op5_ngram_join": "ngram_join",
     "op6_pii": "pii",
     "op7_prefix_free": "prefix_free",
