@@ -11,8 +11,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: One word: a maximal run of anything but space, tab, LF, VT, FF and CR.
-WORD = r"[^\x20\x09-\x0D]+"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _made: list[tuple[SparkSession, str]] = []
 
@@ -22,17 +20,6 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, _UPPER, _UPPER.lower())
 
 
-def whitespace_words(text: Column) -> Column:
-    """The words of ``text`` in order, as an array of strings."""
-    return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-
-
-def n_words(text: Column) -> Column:
-    """Number of words; 0 for null."""
-    runs = F.regexp_replace(F.coalesce(text, F.lit("")), WORD, "w")
-    return F.length(F.regexp_replace(runs, r"[\x20\x09-\x0D]+", "")).cast("long")
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of ``value``, which is computed once: lambdas are interpreted, and repeat what they repeat."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

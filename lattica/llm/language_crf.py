@@ -33,6 +33,8 @@ ROWS_PER_LANGUAGE, WORDS_PER_ROW = 400, 128
 SPAN, SPANS = 16, 4
 BITS, EPOCHS, RATE, L2, SEED = 17, 4, 0.05, 1e-6, 5
 LEXICON_WORDS = 2000
+#: More are an error; so what is broadcast and held per language is bounded.
+MAX_LANGUAGES = 256
 #: Words of one step of labelling; texts are never cut.
 STEP_WORDS = 1 << 18
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -227,7 +229,10 @@ def training_rows(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAG
     twice what is needed; the bound holds after the sort by hash.
     """
     usable = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    share = usable.groupBy("lang").count().select("lang", (F.lit(2.0 * rows_per_language) / F.col("count")).alias("share"))
+    counts = usable.groupBy("lang").count()
+    if counts.limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    share = counts.select("lang", (F.lit(2.0 * rows_per_language) / F.col("count")).alias("share"))
     part = (F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / float(1 << 20)).alias("part")
     words = F.split(letters_only(F.col("text")), " ")
     some = usable.select("lang", "text", part).join(F.broadcast(share), "lang").where(F.col("part") < F.col("share"))
