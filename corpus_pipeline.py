@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm import byte_bpe, language_crf, line_dedup, mixing, ngram_join
-from lattica.llm.common import let, stage
+from lattica.llm.common import let, release, stage
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Mean probability of its language below which a text counts as of none.
@@ -24,6 +24,7 @@ _SPACED_WORD = r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts that are in none of the labelled languages go: without a letter, or of no language in the mean."""
+    release(spark, executors=True)
     model = language_crf.fit(language_crf.training_rows(docs.select("text", "lang")))
     keyed = docs.select(*COLUMNS, F.xxhash64("text").alias("text_key"))
     labelled = language_crf.label(keyed.select("doc_id", "text", "text_key"), model, carry=["text_key"])
@@ -43,6 +44,7 @@ def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents connected by near-duplicate links the one with the smallest doc_id stays."""
+    release(spark, executors=True)
     found = ngram_join.link_components(docs.select("doc_id", "text"))
     gone = stage(found.where("doc_id <> component_id").select("doc_id"), "pipeline-duplicates")
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
@@ -67,6 +69,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit) and the SHA-256 of the text that they decode to."""
+    release(spark, executors=True)
     ranks = byte_bpe.read_ranks(public_tokenizers.path(TOKENIZER))
     coded = byte_bpe.encode(docs.select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
     return coded.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))

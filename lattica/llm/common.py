@@ -64,10 +64,17 @@ def small_batches(spark: SparkSession, rows: int = 1024) -> None:
         spark.conf.set(name, str(rows))
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop shuffle files of frames that nothing refers to any more: it does so as the driver collects garbage."""
+def release(spark: SparkSession, executors: bool = False) -> None:
+    """Let Spark drop shuffle files and broadcasts of frames that nothing refers to any more: it does so as the driver collects garbage.
+
+    With ``executors`` they collect theirs too, and heaps that one stage has
+    grown shrink before the next one's Python workers start.
+    """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    if executors:
+        n = 2 * spark.sparkContext.defaultParallelism
+        spark.range(0, n, 1, n).select(F.expr("reflect('java.lang.System', 'gc')")).write.format("noop").mode("overwrite").save()
 
 
 def _delete(spark: SparkSession, path: str) -> None:

@@ -36,7 +36,7 @@ LEXICON_WORDS = 2000
 #: More are an error; so what is broadcast and held per language is bounded.
 MAX_LANGUAGES = 256
 #: Words of one step of labelling; texts are never cut.
-STEP_WORDS = 1 << 18
+STEP_WORDS = 1 << 17
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -91,7 +91,7 @@ def features(words: pa.Array, lexicon: np.ndarray, bits: int) -> tuple[np.ndarra
 
     def add(h: np.ndarray, kind: int, there: np.ndarray) -> None:
         h = (h + np.uint64(kind)) * _MIX
-        found.append(np.where(there, (h >> np.uint64(64 - bits)).astype(np.int64), -1))
+        found.append(np.where(there, (h >> np.uint64(64 - bits)).astype(np.int32), np.int32(-1)))
 
     place = np.arange(points.shape[1])
     for n in (2, 3, 4):
@@ -118,9 +118,9 @@ def features(words: pa.Array, lexicon: np.ndarray, bits: int) -> tuple[np.ndarra
 def emissions(words: pa.Array, model: Model) -> np.ndarray:
     """Mean feature weight of each language, scaled by the root of the number of features."""
     out = np.zeros((len(words), len(model.languages)))
-    padded = np.vstack([model.weights, np.zeros((1, len(model.languages)))])  # -1 finds the zeros
-    for at in range(0, len(words), 1 << 14):
-        rows, n = features(words.slice(at, 1 << 14), model.lexicon, model.bits)
+    padded = np.vstack([model.weights, np.zeros((1, len(model.languages)))]).astype(np.float32)  # -1 finds the zeros
+    for at in range(0, len(words), 1 << 12):
+        rows, n = features(words.slice(at, 1 << 12), model.lexicon, model.bits)
         out[at : at + len(rows)] = padded[rows].sum(1) / np.sqrt(n)[:, None]
     return out
 
@@ -293,6 +293,7 @@ def label(docs: DataFrame, model: Model, word_labels: bool = False, carry: Seque
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_sent.value
+        pa.set_memory_pool(pa.system_memory_pool())  # gives memory back between batches
         for batch in batches:
             size = np.cumsum(pc.add(pc.binary_length(batch.column(1)), 1).to_numpy())
             at = 0
