@@ -71,6 +71,8 @@ def absorb(df: DataFrame, dims, columns, means, tolerance: float = 1e-8, max_ite
         cells = sum(p.count() for p in pairs.values()) + k * sum(out.levels.values())
         solve = _solve_local if cells <= local_cells else _solve_tables
         solve(out, order, sums, pairs, tolerance, max_iterations)
+        if solve is _solve_local:
+            return out
     products = [(i, j) for i in range(k) for j in range(i, k)]
     for d in dims:
         joined = out.effects[d].join(sums[d].drop("n"), d)
@@ -122,6 +124,8 @@ def _solve_local(out: Absorbed, order, sums, pairs, tolerance: float, max_iterat
         new = (r * z).sum(0)
         p = z + np.where(rz > 0, new / np.where(rz > 0, rz, 1.0), 0.0) * p
         rz = new
+    crossed = x.T @ right
+    out.correction = (crossed + crossed.T) / 2
     for d in order:
         t = tables[d][[d, "n"]].copy()
         for i in range(k):
