@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lattica.shipping import ship
+
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _made: list[tuple[SparkSession, str]] = []
 
@@ -59,6 +61,7 @@ def unstage(df: DataFrame) -> None:
 
 def small_batches(spark: SparkSession, rows: int = 1024) -> None:
     """Hand texts to Python in batches of at most ``rows``.  Spark's 10,000 whole texts would be held several times over: in the JVM, in transit and in the worker."""
+    ship(spark)
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= rows:
         spark.conf.set(name, str(rows))

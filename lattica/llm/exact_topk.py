@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.llm.common import stage
+from lattica.shipping import ship
 
 SCALE, EVERY, K, SLICES = 256, 50, 5, 2
 QUERY_BLOCK, CANDIDATE_BLOCK = 2048, 8192
@@ -101,6 +102,7 @@ def top_k(
     is; shuffled are blocks (each candidate block once per query block), the
     lists' best, and what passes the cutoff.
     """
+    ship(vectors.sparkSession)
     keep = k + 1  # one of the best may be the query's own
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), scaled(F.col(vector_col), scale).alias("ints"), is_query.alias("is_q"))
     rows = rows.where(F.col("ints").isNotNull() & F.col("id").isNotNull())

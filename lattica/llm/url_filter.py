@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lattica.llm.common import lower_ascii
+from lattica.shipping import ship
 
 STRICT_TERMS = ("adult", "casino", "escort", "gambling", "porn", "sex", "viagra", "xxx")
 SOFT_TERMS = {
@@ -91,6 +92,7 @@ def judge_urls(
     strict and soft is strict.  Other columns of ``pages`` are ignored, whatever
     their names; an empty table gives an empty result.
     """
+    ship(pages.sparkSession)
     hard = frozenset(t.translate(_ASCII_LOWER) for t in strict)
     weights = {t.translate(_ASCII_LOWER): float(w) for t, w in soft.items()}
     schema = T.StructType(
