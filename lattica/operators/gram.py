@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lattica.shipping import ship
+
 #: Columns from which on one generated aggregate would be too long to compile.
 WIDE = 24
 
@@ -40,6 +42,8 @@ def gram(df: DataFrame, columns) -> np.ndarray:
             out[i, j] = out[j, i] = x or 0.0
         return out
 
+    ship(df.sparkSession)
+
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((k, k))
         for batch in batches:

@@ -30,6 +30,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from lattica.operators.prepare import dense_ids, drop_missing, reject_missing
 from lattica.plans.spec import ModelSpec
+from lattica.shipping import ship
 
 #: Rows per partition, if the reader is given no number of partitions.
 ROWS_EACH = 4_000_000
@@ -168,6 +169,7 @@ class PanelSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    ship(spark)
     spark.dataSource.register(PanelSource)
 
 
@@ -207,6 +209,7 @@ def write_panel(df: DataFrame, path: str, spec: ModelSpec, precision: str = "flo
     column, a partition at a time, and joins the files: its memory holds a
     partition's packed batches, its disk the file twice.
     """
+    ship(df.sparkSession)
     ready = prepare_panel(df, spec, drop_missing_rows)
     names = ready.columns
     kinds = ["<i4" if c.startswith("k") else ("<f4" if precision == "float32" else "<f8") for c in names]
