@@ -18,7 +18,7 @@ def ship(spark: SparkSession) -> None:
     if context.applicationId in _shipped:
         return
     root = Path(__file__).parent
-    path = os.path.join(tempfile.mkdtemp(prefix="lattica-code-"), "lattica.zip")
+    path = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="lattica-code-")), "lattica.zip")
     with zipfile.ZipFile(path, "w") as out:
         for file in sorted(root.rglob("*.py")):
             out.write(file, file.relative_to(root.parent))
