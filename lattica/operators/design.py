@@ -32,7 +32,7 @@ class DesignColumn:
 
 def whole(column: str) -> Column:
     """The nearest integer, halves away from zero."""
-    return F.round(F.col(column).cast("double")).cast("int")
+    return F.round(F.col(column).cast("double")).try_cast("int")
 
 
 def levels(df: DataFrame, columns, cap: int = MAX_LEVELS) -> dict[str, list[int]]:
@@ -46,7 +46,7 @@ def levels(df: DataFrame, columns, cap: int = MAX_LEVELS) -> dict[str, list[int]
         return {}
     pairs = F.array(*[F.struct(F.lit(c).alias("v"), F.col(c).cast("double").alias("x")) for c in columns])
     values = df.select(F.explode(pairs).alias("p")).where(F.abs(F.col("p.x") - F.round("p.x")) <= NEAR_INTEGER)
-    values = values.select("p.v", F.round("p.x").cast("int").alias("level")).distinct()
+    values = values.select("p.v", F.round("p.x").try_cast("int").alias("level")).where("level is not null").distinct()
     from pyspark.sql import Window
 
     place = F.row_number().over(Window.partitionBy("v").orderBy("level"))
@@ -61,7 +61,7 @@ def levels(df: DataFrame, columns, cap: int = MAX_LEVELS) -> dict[str, list[int]
 def dummies(column: str, found: list[int], base: int) -> list[tuple[str, Column]]:
     """A 0/1 column for each level but the base; a base that isn't a level is the first one."""
     base = base if base in found else found[0] if found else base
-    return [(f"{column}:{level}", (whole(column) == level).cast("double")) for level in found if level != base]
+    return [(f"{column}:{level}", F.coalesce((whole(column) == level).cast("double"), F.lit(0.0))) for level in found if level != base]
 
 
 def _block(factor: Factor, df: DataFrame, known: dict[str, list[int]]) -> list[tuple[str, Column]]:

@@ -135,6 +135,7 @@ SQL = {
     "r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS run FROM c), "
     "k AS (SELECT user_id, row_number() OVER (PARTITION BY user_id, run ORDER BY ts) - 1 AS tenure FROM r) "
     "SELECT user_id, count(*) AS n, sum(tenure)::BIGINT AS total, max(tenure)::BIGINT AS longest FROM k GROUP BY user_id",
+    "fe_panel_file": "SELECT s_acctbal::DOUBLE AS s_acctbal, s_suppkey::DOUBLE AS s_suppkey, dense_rank() OVER (ORDER BY s_nationkey)::INTEGER AS s_nationkey FROM supplier",
     "fe_text_fixed_effects": "WITH o AS (SELECT o_orderpriority, o_totalprice / 1000 AS price, day(o_orderdate)::DOUBLE AS d FROM orders), "
     "w AS (SELECT price - avg(price) OVER p AS y, d - avg(d) OVER p AS x FROM o WINDOW p AS (PARTITION BY o_orderpriority)) "
     f"SELECT 'day' AS term, {_r('sum(x * y) / sum(x * x)')} AS estimate FROM w",

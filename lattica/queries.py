@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,8 +13,9 @@ from lattica.functions.formula import Factor, parse
 from lattica.operators import design, gram, prepare, within
 from lattica.operators.cluster import meats
 from lattica.plans.estimate import fit
-from lattica.plans.spec import EstimationResult, FitOptions
-from lattica.sources.synthetic import run_counter
+from lattica.plans.spec import EstimationResult, FitOptions, ModelSpec
+from lattica.sources.panel import read_panel, write_panel
+from lattica.sources.synthetic import build_panel, run_counter
 
 TIGHT = FitOptions(tolerance=1e-11)
 
@@ -190,12 +195,28 @@ def formula_terms(spark, sf_dir):
     return spark.createDataFrame(rows, "kind string, place int, name string")
 
 
+def panel_file(spark, sf_dir):
+    """Suppliers written as a panel file and read back, in two row ranges."""
+    spec = ModelSpec("s_acctbal", ("s_suppkey",), (), ("s_nationkey",))
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
+    folder = shared.removeprefix("file://").removeprefix("file:") if shared.startswith(("file:", "/")) else tempfile.mkdtemp(prefix="lattica-")
+    os.makedirs(folder, exist_ok=True)
+    path = os.path.join(folder, f"panel-{uuid.uuid4().hex}.bin")
+    write_panel(_table(spark, sf_dir, "supplier"), path, spec)
+    return read_panel(spark, path, 2)[0]
+
+
+def synthetic(spark, sf_dir):
+    """Estimates on a generated panel with known coefficients 0.4 and -0.2."""
+    return _betas(spark, fit(build_panel(spark), "wage ~ tenure sick_shock, fe(worker firm time)", options=TIGHT))
+
+
 QUERIES = {
     f"fe_{f.__name__}": f
     for f in (
         null_drop, group_sizes, dense_ids, dense_ids_text, factor_levels, categorical_terms, categorical_base, interactions,
         crossed_terms, group_stats, demean_one, gram_matrix, ols_one, ols_none, fit_statistics, ols_two, ols_three,
         composite_clusters, cluster_meats, cluster_one, cluster_two, cluster_three, two_stage, two_stage_clustered, effects,
-        effects_two, tenure, text_fixed_effects, formula_terms,
+        effects_two, tenure, text_fixed_effects, formula_terms, panel_file, synthetic,
     )
 }
