@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import let, n_buckets, small_batches, stage
+from lattica.llm.common import let, n_buckets, release, small_batches, stage
 from lattica.llm.packed import Ranges, steps
 
 #: Largest dictionary of distinct pieces, in bytes, that is sent to every worker; beyond it texts and pieces meet by shuffle.
@@ -38,7 +38,7 @@ BLOCK_ROWS = 16384
 #: Distinct pieces that one task folds.
 WORDS_EACH = 200_000
 #: Pieces that one step of the assembly holds.
-CHUNK_PIECES = 1 << 19
+CHUNK_PIECES = 1 << 18
 _SPACE = r"\x09-\x0D\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 _DICT = "word string, ids binary, n int"
 
@@ -266,7 +266,10 @@ def encode(
     if known:
         sent = spark.sparkContext.broadcast(known)
 
+        release(spark, executors=True)  # of what the fold has left
+
         def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            pa.set_memory_pool(pa.system_memory_pool())  # gives memory back between batches
             vocabulary = pa.array(tokens, pa.binary())
             for batch in batches:
                 yield from _assemble(batch.column(0), batch.column(1), sent.value, vocabulary)
