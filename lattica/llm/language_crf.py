@@ -33,6 +33,8 @@ ROWS_PER_LANGUAGE, WORDS_PER_ROW = 400, 128
 SPAN, SPANS = 16, 4
 BITS, EPOCHS, RATE, L2, SEED = 17, 4, 0.05, 1e-6, 5
 LEXICON_WORDS = 2000
+#: Code points of a unit; longer runs of letters, as in scripts without spaces, are several units.
+UNIT = 24
 #: More are an error; so what is broadcast and held per language is bounded.
 MAX_LANGUAGES = 256
 #: Words of one step of labelling; texts are never cut.
@@ -55,13 +57,14 @@ def letters_only(text: Column) -> Column:
     return F.trim(F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}\p{M}]+", " ")))
 
 
-def _code_points(words: pa.Array, width: int = 24) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of each word, framed by ^ and $, cut to the middle-free first and last ``width`` // 2; and lengths."""
-    half = width // 2
-    long = pc.greater(pc.utf8_length(words), width)
-    if pc.any(long).as_py():
-        ends = pc.binary_join_element_wise(pc.utf8_slice_codeunits(words, 0, half), pc.utf8_slice_codeunits(words, -half, None), "")
-        words = pc.if_else(long, ends, words)
+def _units(words: pa.Array) -> pa.ListArray:
+    """Each word in consecutive units of at most UNIT code points."""
+    spaced = pc.replace_substring_regex(words, pattern=f"(?s)(.{{{UNIT}}})", replacement=r"\1 ")
+    return pc.split_pattern(pc.utf8_rtrim(spaced, " "), " ")
+
+
+def _code_points(words: pa.Array, width: int = UNIT) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of each word, of ``width`` at most, framed by ^ and $; and lengths."""
     text = np.array(words.to_pylist(), dtype=f"U{width}")
     points = text.view(np.uint32).reshape(len(text), -1) if len(text) else np.zeros((0, width), np.uint32)
     lengths = (points != 0).sum(1)
@@ -171,6 +174,7 @@ def fit(rows: list[tuple[str, list[str]]], bits: int = BITS, epochs: int = EPOCH
     """Fit on (language, words) rows.  Without rows the model has no language and labels nothing."""
     languages = tuple(sorted({lang for lang, words in rows if words}))
     k, rng = len(languages), np.random.default_rng(seed)
+    rows = [(lang, _units(pa.array(ws, pa.string())).flatten().to_pylist()) for lang, ws in rows]
     words = pa.array([w for _, ws in rows for w in ws], pa.string())
     labels = np.repeat([languages.index(lang) if ws else 0 for lang, ws in rows], [len(ws) for _, ws in rows]).astype(np.int64)
     weights, transitions, start = np.zeros((1 << bits, k)), np.zeros((k, k)), np.zeros(k)
@@ -234,7 +238,7 @@ def training_rows(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAG
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     share = counts.select("lang", (F.lit(2.0 * rows_per_language) / F.col("count")).alias("share"))
     part = (F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / float(1 << 20)).alias("part")
-    words = F.split(letters_only(F.col("text")), " ")
+    words = F.split(F.regexp_replace(letters_only(F.col("text")), rf"([^ ]{{{UNIT}}})(?=[^ ])", "$1 "), " ")
     some = usable.select("lang", "text", part).join(F.broadcast(share), "lang").where(F.col("part") < F.col("share"))
     spans = F.floor(F.size("words") / SPAN)
     kept = words_per_row // SPAN
@@ -253,7 +257,9 @@ def training_rows(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAG
 def label(docs: DataFrame, model: Model, word_labels: bool = False, carry: Sequence[str] = ()) -> DataFrame:
     """doc_id, lang_pred, score, the columns of ``carry`` and, on demand, ``labels``: the language of each word of ``words``.
 
-    ``score`` is the mean probability of the predicted language over the words.
+    ``score`` is the mean probability of the predicted language over the words,
+    of which those over UNIT code points count once for each of their units; such
+    a word's label is the language with the largest sum over them.
     A text that is null or has no letter is ``und`` with score 0, as is every
     text if the model has no language.  Ties go to the first language by name.
     Texts of any length are labelled whole; repeated rows each; columns but
@@ -274,14 +280,22 @@ def label(docs: DataFrame, model: Model, word_labels: bool = False, carry: Seque
         counts = np.add.reduceat(np.append(real, False).astype(np.int64), np.minimum(words.offsets.to_numpy()[:-1] - words.offsets[0].as_py(), len(real))) if len(words) else np.zeros(0, np.int64)
         flat = flat.filter(pa.array(real))
         have = counts > 0
+        units, of_word = flat, None
+        if pc.any(pc.greater(pc.utf8_length(flat), UNIT)).as_py():
+            split = _units(flat)
+            units, of_word = split.flatten(), np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy())])
         mean = np.zeros((len(words), k))
         probable = np.zeros((0, k))
         if k and have.any():
-            coded = pc.dictionary_encode(flat)
+            coded = pc.dictionary_encode(units)
             scores = emissions(coded.dictionary, model)[coded.indices.to_numpy()]
             bounds = np.concatenate([[0], np.cumsum(counts[have])])
+            if of_word is not None:
+                bounds = of_word[bounds]
             probable = forward_backward(scores, bounds, model.transitions, model.start)
-            mean[have] = np.add.reduceat(probable, bounds[:-1]) / counts[have][:, None]
+            mean[have] = np.add.reduceat(probable, bounds[:-1]) / np.diff(bounds)[:, None]
+            if of_word is not None and word_labels:
+                probable = np.add.reduceat(probable, of_word[:-1])
         best = np.where(have & (k > 0), mean.argmax(1) if k else 0, k)
         score = np.where(have & (k > 0), mean.max(1, initial=0.0), 0.0)
         columns = [keys, pa.array(languages[best], pa.string()), pa.array(np.clip(score, 0.0, 1.0))]

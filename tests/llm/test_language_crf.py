@@ -62,3 +62,15 @@ def test_other_columns_are_no_input(odd, documents):
     a = crf.label(documents.limit(20), model).orderBy("doc_id").collect()
     b = crf.label(documents.limit(20).withColumn("lang", F.lit("xx")).withColumn("source", F.lit("q")), model).orderBy("doc_id").collect()
     assert a == b
+
+
+def test_long_runs_are_read_whole(spark):
+    a, b = "アイウエオカキクケコサシ", "漢字文書語言学校先生私"
+    rng = np.random.default_rng(3)
+    run = lambda letters, n: "".join(rng.choice(list(letters), n))
+    rows = [(lang, run(letters, 300)) for lang, letters in (("xa", a), ("xb", b)) for _ in range(30)]
+    model = crf.fit(crf.training_rows(spark.createDataFrame(rows, "lang string, text string")))
+    middle = [(1, run(a, 12) + run(b, 400) + run(a, 12)), (2, run(b, 12) + run(a, 400) + run(b, 12)), (3, run(a, 240) + run(b, 240))]
+    out = {r["doc_id"]: r for r in crf.label(spark.createDataFrame(middle, "doc_id long, text string"), model, word_labels=True).collect()}
+    assert (out[1]["lang_pred"], out[2]["lang_pred"]) == ("xb", "xa") and out[1]["labels"] == ["xb"] and out[1]["words"] == [middle[0][1]]
+    assert 0.3 < out[3]["score"] < 0.7
