@@ -15,20 +15,20 @@ from lattica.llm import byte_bpe, language_crf, line_dedup, mixing, ngram_join
 from lattica.llm.common import let, release, stage
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Mean probability of its language below which a text counts as of none.
-MIN_LANGUAGE_SCORE = 0.5
+#: Mean probability of each word's own language below which a text counts as of none.
+MIN_LANGUAGE_CERTAINTY = 0.5
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 #: A word with the white space after it.
 _SPACED_WORD = r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts that are in none of the labelled languages go: without a letter, or of no language in the mean."""
+    """Texts that are in none of the labelled languages go: without a letter, or of words that are of no language in the mean.  Texts of several languages stay."""
     release(spark, executors=True)
     model = language_crf.fit(language_crf.training_rows(docs.select("text", "lang")))
     keyed = docs.select(*COLUMNS, F.xxhash64("text").alias("text_key"))
-    labelled = language_crf.label(keyed.select("doc_id", "text", "text_key"), model, carry=["text_key"])
-    rejected = (F.col("lang_pred") == language_crf.UNDETERMINED) | (F.col("score") < MIN_LANGUAGE_SCORE)
+    labelled = language_crf.label(keyed.select("doc_id", "text", "text_key"), model, carry=["text_key"], certainty=True)
+    rejected = (F.col("lang_pred") == language_crf.UNDETERMINED) | (F.col("certainty") < MIN_LANGUAGE_CERTAINTY)
     gone = stage(labelled.where(rejected).select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct(), "pipeline-rejected")
     same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("text_key") == F.col("gone_key"))
     return keyed.join(gone, same, "left_anti").select(*COLUMNS)

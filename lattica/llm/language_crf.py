@@ -254,12 +254,13 @@ def training_rows(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAG
     return [x for lang in sorted(taken) for x in taken[lang]]
 
 
-def label(docs: DataFrame, model: Model, word_labels: bool = False, carry: Sequence[str] = ()) -> DataFrame:
-    """doc_id, lang_pred, score, the columns of ``carry`` and, on demand, ``labels``: the language of each word of ``words``.
+def label(docs: DataFrame, model: Model, word_labels: bool = False, carry: Sequence[str] = (), certainty: bool = False) -> DataFrame:
+    """doc_id, lang_pred, score, the columns of ``carry`` and, on demand, ``labels``: the language of each word of ``words``, and ``certainty``.
 
     ``score`` is the mean probability of the predicted language over the words,
     of which those over UNIT code points count once for each of their units; such
-    a word's label is the language with the largest sum over them.
+    a word's label is the language with the largest sum over them.  ``certainty``
+    is the mean of the largest probability of each, whichever language has it.
     A text that is null or has no letter is ``und`` with score 0, as is every
     text if the model has no language.  Ties go to the first language by name.
     Texts of any length are labelled whole; repeated rows each; columns but
@@ -269,7 +270,7 @@ def label(docs: DataFrame, model: Model, word_labels: bool = False, carry: Seque
     small_batches(docs.sparkSession)
     model_sent = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, lang_pred string, score double" + (", words array<string>, labels array<string>" if word_labels else "")
+    schema = f"doc_id {kind}, lang_pred string, score double" + (", words array<string>, labels array<string>" if word_labels else "") + (", certainty double" if certainty else "")
     names = [f.split()[0] for f in schema.split(", ")] + [f"carried_{i}" for i in range(len(carry))]
     schema += "".join(f", carried_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
 
@@ -286,6 +287,7 @@ def label(docs: DataFrame, model: Model, word_labels: bool = False, carry: Seque
             units, of_word = split.flatten(), np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy())])
         mean = np.zeros((len(words), k))
         probable = np.zeros((0, k))
+        sure = np.zeros(len(words))
         if k and have.any():
             coded = pc.dictionary_encode(units)
             scores = emissions(coded.dictionary, model)[coded.indices.to_numpy()]
@@ -294,6 +296,7 @@ def label(docs: DataFrame, model: Model, word_labels: bool = False, carry: Seque
                 bounds = of_word[bounds]
             probable = forward_backward(scores, bounds, model.transitions, model.start)
             mean[have] = np.add.reduceat(probable, bounds[:-1]) / np.diff(bounds)[:, None]
+            sure[have] = np.add.reduceat(probable.max(1), bounds[:-1]) / np.diff(bounds)
             if of_word is not None and word_labels:
                 probable = np.add.reduceat(probable, of_word[:-1])
         best = np.where(have & (k > 0), mean.argmax(1) if k else 0, k)
@@ -303,6 +306,8 @@ def label(docs: DataFrame, model: Model, word_labels: bool = False, carry: Seque
             offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
             chosen = languages[probable.argmax(1)] if k else np.full(len(flat), UNDETERMINED, dtype=object)
             columns += [pa.ListArray.from_arrays(offsets, flat), pa.ListArray.from_arrays(offsets, pa.array(chosen, pa.string()))]
+        if certainty:
+            columns.append(pa.array(np.clip(sure, 0.0, 1.0)))
         return pa.RecordBatch.from_arrays(columns + carried, names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

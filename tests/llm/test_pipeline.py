@@ -37,3 +37,14 @@ def test_language_stage_keeps_clean_documents(spark, sf, documents):
     assert kept.count() == documents.count()
     junk = spark.createDataFrame([(10**7, "12 34 !!", None, "s", 8), (10**7 + 1, None, "en", "s", 0)], documents.schema)
     assert c.identify_language(spark, documents.union(junk), sf).where(F.col("doc_id") >= 10**7).count() == 0
+
+
+def test_language_stage_keeps_texts_of_several_languages(spark, sf, documents):
+    langs = [r["lang"] for r in documents.where("lang IS NOT NULL").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(3).collect()]
+    texts = [documents.where(F.col("lang") == lang).orderBy(F.desc("n_chars"), "doc_id").first()["text"] for lang in langs]
+    words = [w for n, text in zip((40, 30, 30), texts) for w in (re.findall(r"[^\W\d_]+", text) * 40)[:n]]
+    mixed = spark.createDataFrame([(10**7, " ".join(words), langs[0], "s", 1)], documents.schema)
+    model = c.language_crf.fit(c.language_crf.training_rows(documents.select("text", "lang")))
+    row = c.language_crf.label(mixed, model, certainty=True).first()
+    assert row["score"] < 0.5 < row["certainty"]
+    assert c.identify_language(spark, documents.union(mixed), sf).where(F.col("doc_id") == 10**7).count() == 1
