@@ -229,11 +229,12 @@ def _row_bounds(rows: list[tuple[str, list[str]]]) -> list[tuple[int, int]]:
 def training_rows(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, words_per_row: int = WORDS_PER_ROW) -> list[tuple[str, list[str]]]:
     """A bounded sample of rows with a language: of each the rows whose text hashes lowest, and spans spread over each text.
 
-    Rows are counted first, so that a hash threshold per language keeps about
-    twice what is needed; the bound holds after the sort by hash.
+    Distinct texts are counted first, so that a hash threshold per language keeps
+    about twice what is needed, however often a text is repeated; the bound holds
+    after the sort by hash.
     """
     usable = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = usable.groupBy("lang").count()
+    counts = usable.select("lang", F.xxhash64("text").alias("copies")).distinct().groupBy("lang").count()
     if counts.limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     share = counts.select("lang", (F.lit(2.0 * rows_per_language) / F.col("count")).alias("share"))

@@ -74,3 +74,10 @@ def test_long_runs_are_read_whole(spark):
     out = {r["doc_id"]: r for r in crf.label(spark.createDataFrame(middle, "doc_id long, text string"), model, word_labels=True).collect()}
     assert (out[1]["lang_pred"], out[2]["lang_pred"]) == ("xb", "xa") and out[1]["labels"] == ["xb"] and out[1]["words"] == [middle[0][1]]
     assert 0.3 < out[3]["score"] < 0.7
+
+
+def test_sample_does_not_shrink_with_copies(spark):
+    texts = spark.range(40).selectExpr("'en' AS lang", "concat('words of text ', translate(id, '0123456789', 'abcdefghij')) AS text")
+    copies = texts.where("text LIKE '% a'").crossJoin(spark.range(40000).select()).union(texts)
+    assert sorted(crf.training_rows(copies, rows_per_language=20)) == sorted(crf.training_rows(texts, rows_per_language=20))
+    assert len(crf.training_rows(copies, rows_per_language=20)) == 20
