@@ -1,7 +1,8 @@
 """Byte-level BPE by Spark higher-order functions over distinct words.
 
-A text is cut into pieces by the tokenizer's pattern.  Each distinct piece, once
-for the whole corpus, becomes an array of its bytes, and ``aggregate`` folds
+A text is cut into pieces by the tokenizer's pattern, once; chunks of texts are
+kept as places in their lists of distinct pieces.  Each distinct piece, once for
+the whole corpus, becomes an array of its bytes, and ``aggregate`` folds
 merges over it: the adjacent pair of the lowest rank, the leftmost of equals, is
 joined until no pair has a rank.  Ranks are in a literal of the plan: an array of
 small maps, one per hash of the key, since a lookup in one large map is linear.
@@ -26,21 +27,19 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import let, n_buckets, release, small_batches, stage
+from lattica.llm.common import let, release, small_batches, stage
 from lattica.llm.packed import Ranges, steps
 
 #: Largest dictionary of distinct pieces, in bytes, that is sent to every worker; beyond it texts and pieces meet by shuffle.
 BROADCAST_BYTES = 128 << 20
 #: The fold copies its array at each merge, so longer pieces (in bytes) take the same merges from a heap instead.
 LONGEST_FOLDED = 512
-#: Blocks of the shuffled form, in rows.
-BLOCK_ROWS = 16384
 #: Distinct pieces that one task folds.
 WORDS_EACH = 200_000
-#: Pieces that one step of the assembly holds.
-CHUNK_PIECES = 1 << 18
+#: Pieces of a chunk of texts, the unit in which ids are put together.
+CHUNK_PIECES = 1 << 16
 _SPACE = r"\x09-\x0D\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
-_DICT = "word string, ids binary, n int"
+_DICT = "word string, ids array<int>"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -130,7 +129,7 @@ def merge_by_heap(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 def encode_words(words: DataFrame, ranks: dict[bytes, int], longest_folded: int = LONGEST_FOLDED) -> DataFrame:
-    """Distinct ``word`` -> (word, ids as big-endian 32-bit integers, n), by the fold; longer pieces by the heap.
+    """Distinct ``word`` -> (word, ids), by the fold; longer pieces by the heap.
 
     Every single byte needs a rank, as in any byte-level vocabulary.
     """
@@ -138,21 +137,18 @@ def encode_words(words: DataFrame, ranks: dict[bytes, int], longest_folded: int
     chars = F.decode(F.encode("word", "UTF-8"), "ISO-8859-1")
 
     def coded(table: Column) -> Column:
-        def packed(tokens: Column) -> Column:
-            ids = F.transform(tokens, lambda t: F.element_at(F.get(table, F.crc32(t).bitwiseAND(F.lit(size - 1)).cast("int")), t))
-            hexed = F.transform(ids, lambda i: F.lpad(F.hex(i), 8, "0"))
-            return F.struct(F.unhex(F.array_join(hexed, "")).alias("ids"), F.size(tokens).alias("n"))
+        def looked_up(token: Column) -> Column:
+            return F.element_at(F.get(table, F.crc32(token).bitwiseAND(F.lit(size - 1)).cast("int")), token)
 
-        return let(fold_merges(chars, table, size), packed)
+        return let(fold_merges(chars, table, size), lambda tokens: F.transform(tokens, looked_up))
 
     short = words.where(F.octet_length("word") <= longest_folded)
-    folded = short.select("word", F.inline(F.transform(F.array(rank_literal(ranks)), coded)))
+    folded = short.select("word", F.explode(F.transform(F.array(rank_literal(ranks)), coded)).alias("ids"))
 
     def by_heap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [merge_by_heap(w.encode(), ranks) for w in batch.column(0).to_pylist()]
-            packed = [np.array(x, ">u4").tobytes() for x in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary()), pa.array([len(x) for x in found], pa.int32())], names=["word", "ids", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=["word", "ids"])
 
     long = words.where(F.octet_length("word") > longest_folded).select("word")
     return folded.unionByName(long.mapInArrow(by_heap, _DICT)) if long.limit(1).count() else folded
@@ -163,6 +159,47 @@ def pieces(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(jvm_pattern(pattern)), F.lit(0))
 
 
+def cut_texts(docs: DataFrame, pattern: str) -> DataFrame:
+    """Texts in chunks of at most CHUNK_PIECES pieces (a longer text is a chunk of its own), as a table.
+
+    ``chunk``; ``keys`` and ``counts``: doc_id and number of pieces of each text;
+    ``words``: the distinct pieces; ``at``: the place in ``words`` of every piece,
+    as unsigned 16-bit integers, or 32-bit ones where ``words`` needs them.  The
+    pattern runs in the JVM, and in Python where a text has code points that the
+    JVM's Unicode tables don't know.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    newer = F.coalesce(F.col("text").rlike(r"\p{Cn}"), F.lit(False))
+    cut = docs.select("doc_id", F.when(~newer, pieces(F.col("text"), pattern)).alias("words"), F.when(newer, F.col("text")).alias("newer"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())  # gives memory back between batches
+        own = regex.compile(jvm_pattern(pattern))
+        for batch in batches:
+            words = batch.column(1)
+            if words.null_count:
+                found = [None if t is None else own.findall(t) for t in batch.column(2).to_pylist()]
+                words = pc.coalesce(pa.array(found, words.type), words)
+            bounds = words.offsets.to_numpy().astype(np.int64)
+            row = 0
+            while row < len(words):
+                stop = max(row + 1, int(np.searchsorted(bounds, bounds[row] + CHUNK_PIECES, "right")) - 1)
+                coded = pc.dictionary_encode(words.values.slice(bounds[row], bounds[stop] - bounds[row]))
+                at = coded.indices.to_numpy().astype("<u2" if len(coded.dictionary) <= 1 << 16 else "<u4")
+                counts = pa.array(np.diff(bounds[row : stop + 1]).astype(np.int32))
+                cells = [_one_list(batch.column(0).slice(row, stop - row)), _one_list(counts), _one_list(coded.dictionary), pa.array([at.tobytes()], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cells, names=["keys", "counts", "words", "at"])
+                row = stop
+
+    chunks = cut.mapInArrow(pack, f"keys array<{kind}>, counts array<int>, words array<string>, at binary")
+    # small row groups: a row is up to a megabyte
+    return stage(chunks.withColumn("chunk", F.monotonically_increasing_id()), "bpe-cut", {"parquet.block.size": 16 << 20, "parquet.block.size.row.check.min": 8, "compression": "zstd"})
+
+
+def _one_list(values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
 @dataclass(frozen=True)
 class Dictionary:
     """Pieces by sorted hash; of each, the place and number of its ids in ``ids``."""
@@ -179,11 +216,12 @@ class Dictionary:
 
         def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                ids = np.frombuffer(b"".join(batch.column(1).to_pylist()), ">u4").astype(kind)
-                cells = _word_hashes(batch.column(0)).tobytes(), batch.column(2).to_numpy().astype("<u4").tobytes(), ids.tobytes()
+                ids = batch.column(1).flatten().to_numpy().astype(kind)
+                n = pc.list_value_length(batch.column(1)).to_numpy().astype("<u4")
+                cells = _word_hashes(batch.column(0)).tobytes(), n.tobytes(), ids.tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in cells], names=["h", "n", "ids"])
 
-        packed = table.select("word", "ids", "n").mapInArrow(pack, "h binary, n binary, ids binary").toArrow()
+        packed = table.select("word", "ids").mapInArrow(pack, "h binary, n binary, ids binary").toArrow()
         hashes, n, ids = (np.frombuffer(b"".join(packed[c].to_pylist()), t) for c, t in (("h", np.uint64), ("n", "<u4"), ("ids", kind)))
         order = np.argsort(hashes)
         hashes = hashes[order]
@@ -192,48 +230,38 @@ class Dictionary:
         first = (np.cumsum(n, dtype=np.int64) - n)[order]
         return cls(hashes, first.astype(np.uint32 if len(ids) < 1 << 32 else np.int64), n[order], ids)
 
+    def find(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Place and number of the ids of each word."""
+        hashes = _word_hashes(words)
+        at = np.searchsorted(self.hashes, hashes)
+        if len(hashes) and not (self.hashes[np.minimum(at, len(self.hashes) - 1)] == hashes).all():
+            raise ValueError("a piece is not in the dictionary of distinct pieces")
+        return self.first[at].astype(np.int64), self.n[at].astype(np.int64)
+
 
 def _word_hashes(words: pa.Array) -> np.ndarray:
     found = [Ranges(data).hash(bounds[:-1], bounds[1:]) for _, data, bounds in steps(words, words)]
     return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
-def _assemble(keys: pa.Array, words: pa.ListArray, known: Dictionary | pa.Table, vocabulary: pa.Array) -> Iterator[pa.RecordBatch]:
-    """Look the pieces of each row up and put ids and decoded bytes together, column-wise, some rows at a time."""
-    bounds = words.offsets.to_numpy().astype(np.int64)
-    row = 0
-    while row < len(words):
-        stop = max(row + 1, int(np.searchsorted(bounds, bounds[row] + CHUNK_PIECES, "right")) - 1)
-        coded = pc.dictionary_encode(words.values.slice(bounds[row], bounds[stop] - bounds[row]))
-        if isinstance(known, Dictionary):
-            hashes = _word_hashes(coded.dictionary)
-            at = np.searchsorted(known.hashes, hashes)
-            if len(hashes) and not (known.hashes[np.minimum(at, len(known.hashes) - 1)] == hashes).all():
-                raise ValueError("a piece is not in the dictionary of distinct pieces")
-            start, n = known.first[at].astype(np.int64), known.n[at].astype(np.int64)
-            flat = known.ids
-        else:
-            local = known.take(pc.index_in(coded.dictionary, known["word"])).combine_chunks()
-            n = local["n"].to_numpy().astype(np.int64)
-            flat, start = np.frombuffer(b"".join(local["ids"].to_pylist()), ">u4"), np.cumsum(n) - n
-        some = coded.indices.to_numpy()
-        counts = n[some]
-        ends = np.concatenate([[0], np.cumsum(counts)])
-        ids = flat[np.repeat(start[some] - ends[:-1], counts) + np.arange(ends[-1])].astype("<u4")
-        tokens = ends[bounds[row : stop + 1] - bounds[row]]
-        texts = vocabulary.take(pa.array(ids))
-        byte_at = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64)])[tokens]
-        raw, decoded = ids.tobytes(), bytes(texts.buffers()[2] or b"")
-        yield pa.RecordBatch.from_arrays(
-            [
-                keys.slice(row, stop - row),
-                pa.array(np.diff(tokens)),
-                pa.array([raw[4 * a : 4 * b] for a, b in zip(tokens, tokens[1:])], pa.binary()),
-                pa.array([decoded[a:b] for a, b in zip(byte_at, byte_at[1:])], pa.binary()),
-            ],
-            names=["doc_id", "n_tokens", "ids", "decoded"],
-        )
-        row = stop
+def _binary(bounds: np.ndarray, data: pa.Buffer) -> pa.Array:
+    return pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int64).tobytes()), data]).cast(pa.binary())
+
+
+def _assemble(keys: pa.Array, counts: np.ndarray, at: bytes, flat: np.ndarray, first: np.ndarray, n: np.ndarray, vocabulary: pa.Array) -> pa.RecordBatch:
+    """Put ids and decoded bytes of a chunk's texts together; the ids of word i are the n[i] from flat[first[i]] on."""
+    bounds = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+    some = np.frombuffer(at, "<u2" if len(at) == 2 * bounds[-1] else "<u4")
+    each = n[some]
+    ends = np.concatenate([[0], np.cumsum(each)])
+    ids = flat[np.repeat(first[some] - ends[:-1], each) + np.arange(ends[-1])].astype("<u4")
+    tokens = ends[bounds]
+    texts = vocabulary.take(pa.array(ids))
+    byte_at = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64)])[tokens]
+    return pa.RecordBatch.from_arrays(
+        [keys, pa.array(np.diff(tokens)), _binary(4 * tokens, pa.py_buffer(ids.tobytes())), _binary(byte_at, texts.buffers()[2] or pa.py_buffer(b""))],
+        names=["doc_id", "n_tokens", "ids", "decoded"],
+    )
 
 
 def encode(
@@ -246,22 +274,22 @@ def encode(
     """One row per document: doc_id, n_tokens, ids (little-endian unsigned 32-bit) and decoded (bytes).
 
     Null and empty texts have no tokens.  Repeated rows are encoded each; other
-    columns are ignored.  The dictionary of distinct pieces goes to every worker
-    if it is within ``broadcast_bytes``; else texts and the pieces of their block
-    meet by shuffle.  Letters that Unicode assigned after the JVM's tables were
-    made count as neither letters nor digits.
+    columns are ignored.  The pattern runs once over each text.  The dictionary
+    of distinct pieces goes to every worker if it is within ``broadcast_bytes``;
+    else each chunk of texts meets its pieces by shuffle.
     """
     spark: SparkSession = docs.sparkSession
     small_batches(spark)
-    cut = docs.select("doc_id", pieces(F.col("text"), pattern).alias("words"))
+    cut = cut_texts(docs, pattern)
     words = stage(cut.select(F.explode("words").alias("word")).distinct(), "bpe-words")
     tasks = max(2 * spark.sparkContext.defaultParallelism, -(-words.count() // WORDS_EACH))
+    release(spark)
     dictionary = stage(encode_words(words.repartition(tasks, "word"), ranks, longest_folded), "bpe-dictionary")
     tokens = [b""] * (max(ranks.values(), default=-1) + 1)
     for token, rank in ranks.items():
         tokens[rank] = token
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids binary, decoded binary"
-    size = dictionary.agg(F.coalesce(F.sum(F.octet_length("word") + F.octet_length("ids") + 12), F.lit(0))).first()[0]
+    size = dictionary.agg(F.coalesce(F.sum(F.octet_length("word") + 4 * F.size("ids") + 12), F.lit(0))).first()[0]
     known = Dictionary.of(dictionary, len(tokens) <= 1 << 16) if size <= broadcast_bytes else None
     if known:
         sent = spark.sparkContext.broadcast(known)
@@ -270,24 +298,26 @@ def encode(
 
         def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pa.set_memory_pool(pa.system_memory_pool())  # gives memory back between batches
-            vocabulary = pa.array(tokens, pa.binary())
+            vocabulary, known = pa.array(tokens, pa.binary()), sent.value
             for batch in batches:
-                yield from _assemble(batch.column(0), batch.column(1), sent.value, vocabulary)
+                for i in range(batch.num_rows):
+                    keys, counts, words = (batch.column(c)[i].values for c in range(3))
+                    yield _assemble(keys, counts.to_numpy(), batch.column(3)[i].as_py(), known.ids, *known.find(words), vocabulary)
 
-        return cut.mapInArrow(look_up, schema)
+        return cut.select("keys", "counts", "words", "at").mapInArrow(look_up, schema)
 
-    blocks = n_buckets(spark, docs.count(), BLOCK_ROWS)
-    dealt = cut.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
-    needed = dealt.select("block", F.explode("words").alias("word")).distinct().join(dictionary, "word")
+    needed = cut.select("chunk", F.posexplode("words").alias("place", "word")).join(dictionary, "word")
 
     def meet(texts: pa.Table, known: pa.Table) -> pa.Table:
-        rows = texts.combine_chunks()
-        lists = rows["words"].chunk(0) if rows["words"].num_chunks else pa.array([], pa.list_(pa.string()))
-        key = rows["doc_id"].chunk(0) if rows["doc_id"].num_chunks else pa.array([], rows["doc_id"].type)
-        return pa.Table.from_batches(list(_assemble(key, lists, known, pa.array(tokens, pa.binary()))))
-
-    needed = needed.select(F.col("block").alias("of_block"), "word", "ids", "n")
-    return dealt.groupBy("block").cogroup(needed.groupBy("of_block")).applyInArrow(meet, schema)
+        vocabulary, known = pa.array(tokens, pa.binary()), known.sort_by("place")["ids"].combine_chunks()
+        n = pc.list_value_length(known).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = known.flatten().to_numpy()
+        rows = [(texts[c].chunk(0)[0] for c in ("keys", "counts", "at"))] if texts.num_rows else []
+        found = [_assemble(k.values, c.values.to_numpy(), at.as_py(), flat, np.cumsum(n) - n, n, vocabulary) for k, c, at in rows]
+        return pa.Table.from_batches(found)
+
+    needed = needed.select(F.col("chunk").alias("of_chunk"), "place", "ids")
+    return cut.select("chunk", "keys", "counts", "at").groupBy("chunk").cogroup(needed.groupBy("of_chunk")).applyInArrow(meet, schema)
 
 
 def decode(ids: bytes, ranks: dict[bytes, int]) -> bytes:

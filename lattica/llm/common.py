@@ -37,8 +37,8 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back.
+def stage(df: DataFrame, name: str, options: dict | None = None) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder, with the writer's ``options``, and read it back.
 
     The result has no lineage to its inputs, so a lost executor costs nothing
     but the reading of files; unlike ``checkpoint()`` it is computed once.
@@ -46,7 +46,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lattica-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     _made.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 

@@ -56,6 +56,6 @@ def test_fold_and_heap_agree(spark, documents):
     from pyspark.sql import functions as F
 
     words = documents.limit(40).select(F.explode(b.pieces(F.col("text"), PATTERN)).alias("word")).distinct()
-    folded = {r["word"]: bytes(r["ids"]) for r in b.encode_words(words, RANKS).collect()}
-    heap = {r["word"]: bytes(r["ids"]) for r in b.encode_words(words, RANKS, longest_folded=0).collect()}
+    folded = {r["word"]: r["ids"] for r in b.encode_words(words, RANKS).collect()}
+    heap = {r["word"]: r["ids"] for r in b.encode_words(words, RANKS, longest_folded=0).collect()}
     assert folded == heap and len(folded) > 100
