@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import let, release, small_batches, stage
+from lattica.llm.common import let, release, small_batches, stage, unstage
 from lattica.llm.packed import Ranges, steps
 
 #: Largest dictionary of distinct pieces, in bytes, that is sent to every worker; beyond it texts and pieces meet by shuffle.
@@ -37,9 +37,10 @@ LONGEST_FOLDED = 512
 #: Distinct pieces that one task folds.
 WORDS_EACH = 200_000
 #: Pieces of a chunk of texts, the unit in which ids are put together.
-CHUNK_PIECES = 1 << 16
+CHUNK_PIECES = 200_000
 _SPACE = r"\x09-\x0D\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 _DICT = "word string, ids array<int>"
+_DENSE = {"compression": "zstd"}
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -193,7 +194,7 @@ def cut_texts(docs: DataFrame, pattern: str) -> DataFrame:
 
     chunks = cut.mapInArrow(pack, f"keys array<{kind}>, counts array<int>, words array<string>, at binary")
     # small row groups: a row is up to a megabyte
-    return stage(chunks.withColumn("chunk", F.monotonically_increasing_id()), "bpe-cut", {"parquet.block.size": 16 << 20, "parquet.block.size.row.check.min": 8, "compression": "zstd"})
+    return stage(chunks.withColumn("chunk", F.monotonically_increasing_id()), "bpe-cut", _DENSE | {"parquet.block.size": 16 << 20, "parquet.block.size.row.check.min": 8})
 
 
 def _one_list(values: pa.Array) -> pa.ListArray:
@@ -281,10 +282,11 @@ def encode(
     spark: SparkSession = docs.sparkSession
     small_batches(spark)
     cut = cut_texts(docs, pattern)
-    words = stage(cut.select(F.explode("words").alias("word")).distinct(), "bpe-words")
+    words = stage(cut.select(F.explode("words").alias("word")).distinct(), "bpe-words", _DENSE)
     tasks = max(2 * spark.sparkContext.defaultParallelism, -(-words.count() // WORDS_EACH))
     release(spark)
-    dictionary = stage(encode_words(words.repartition(tasks, "word"), ranks, longest_folded), "bpe-dictionary")
+    dictionary = stage(encode_words(words.repartition(tasks, "word"), ranks, longest_folded), "bpe-dictionary", _DENSE)
+    unstage(words)
     tokens = [b""] * (max(ranks.values(), default=-1) + 1)
     for token, rank in ranks.items():
         tokens[rank] = token
