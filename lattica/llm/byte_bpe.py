@@ -203,10 +203,9 @@ def _one_list(values: pa.Array) -> pa.ListArray:
 
 @dataclass(frozen=True)
 class Dictionary:
-    """Pieces by sorted hash; of each, the place and number of its ids in ``ids``."""
+    """Pieces by sorted hash, the number of ids of each, and all ids in that order."""
 
     hashes: np.ndarray
-    first: np.ndarray
     n: np.ndarray
     ids: np.ndarray
 
@@ -228,16 +227,26 @@ class Dictionary:
         hashes = hashes[order]
         if (hashes[1:] == hashes[:-1]).any():
             return None
-        first = (np.cumsum(n, dtype=np.int64) - n)[order]
-        return cls(hashes, first.astype(np.uint32 if len(ids) < 1 << 32 else np.int64), n[order], ids)
-
-    def find(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        first, n = (np.cumsum(n, dtype=np.int64) - n)[order], n[order]
+        parts = []
+        for at in range(0, len(n), 1 << 19):  # ids in the order of the hashes
+            some = n[at : at + (1 << 19)].astype(np.int64)
+            ends = np.cumsum(some)
+            parts.append(ids[np.repeat(first[at : at + len(some)] - (ends - some), some) + np.arange(ends[-1])])
+        return cls(hashes, n.astype(np.min_scalar_type(int(n.max(initial=0)))), np.concatenate(parts) if parts else ids)
+
+    def starts(self) -> np.ndarray:
+        """Where the ids of each piece begin."""
+        ends = np.cumsum(self.n, dtype=np.uint32 if len(self.ids) < 1 << 32 else np.int64)
+        return ends - self.n
+
+    def find(self, words: pa.Array, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place and number of the ids of each word."""
         hashes = _word_hashes(words)
         at = np.searchsorted(self.hashes, hashes)
         if len(hashes) and not (self.hashes[np.minimum(at, len(self.hashes) - 1)] == hashes).all():
             raise ValueError("a piece is not in the dictionary of distinct pieces")
-        return self.first[at].astype(np.int64), self.n[at].astype(np.int64)
+        return starts[at].astype(np.int64), self.n[at].astype(np.int64)
 
 
 def _word_hashes(words: pa.Array) -> np.ndarray:
@@ -301,10 +310,11 @@ def encode(
         def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pa.set_memory_pool(pa.system_memory_pool())  # gives memory back between batches
             vocabulary, known = pa.array(tokens, pa.binary()), sent.value
+            starts = known.starts()
             for batch in batches:
                 for i in range(batch.num_rows):
                     keys, counts, words = (batch.column(c)[i].values for c in range(3))
-                    yield _assemble(keys, counts.to_numpy(), batch.column(3)[i].as_py(), known.ids, *known.find(words), vocabulary)
+                    yield _assemble(keys, counts.to_numpy(), batch.column(3)[i].as_py(), known.ids, *known.find(words, starts), vocabulary)
 
         return cut.select("keys", "counts", "words", "at").mapInArrow(look_up, schema)
 
