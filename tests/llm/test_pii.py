@@ -62,6 +62,75 @@ def test_contexts_find_what_the_base_misses(spark):
     assert not any(out[200 + i]["spans"] for i in range(30))
 
 
+def test_groups_right_contexts_and_trimming(spark):
+    """Identifiers in groups, contexts after them, punctuation around them, and a second round of patterns."""
+    rows = [(1000 + i, f"call +1 415 555 {2000 + i} mobile today") for i in range(300)]
+    rows += [(100 + i, f"dial 030 1234 56{i:02d}, mobile now") for i in range(20)]  # known by the word after
+    rows += [(200 + i, f"noise xyzzy (030 1234 56{i:02d}) end") for i in range(20)]  # known as instances: a new pattern
+    rows += [(300, "noise xyzzy [040 9999 9999]; end"), (301, f"{'w' * 5000} 12345678 z"), (302, "id 040 9999 9998 end")]
+    text = dict(rows)
+    out = {r["doc_id"]: [text[r["doc_id"]][s["start"] : s["stop"]] for s in r["spans"]] for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[1000] == ["+1 415 555 2000"] and out[103] == out[203] == ["030 1234 5603"]
+    assert out[300] == ["040 9999 9999"] and out[301] == [] and out[302] == []
+
+
+def brute_scores(edges, min_seeds, min_confidence):
+    seeds = {(i, k): 1.0 for _, i, k, _ in edges if k is not None}
+    total, flat = {}, {}
+    for p, i, _, n in edges:
+        total[p] = total.get(p, 0) + n
+        flat[p, i] = flat.get((p, i), 0) + n
+    scores, before = dict(seeds), None
+    while True:
+        patterns = {}
+        for p in total:
+            for kind in range(4):
+                own = [(n, scores[i, kind]) for (q, i), n in flat.items() if q == p and (i, kind) in scores]
+                confidence = sum(n * x for n, x in own) / (total[p] + 1)
+                if sum(x >= pii.MIN_SCORE for _, x in own) >= min_seeds and confidence >= min_confidence:
+                    patterns[p, kind] = confidence
+        if patterns.keys() == before:
+            return scores, patterns
+        before = patterns.keys()
+        scores = dict(seeds)
+        for i in {i for _, i in flat}:
+            for kind in range(4):
+                rest = 1.0
+                for (p, k), confidence in patterns.items():
+                    if k == kind and (p, i) in flat:
+                        rest *= 1 - confidence
+                if rest < 1:
+                    scores[i, kind] = max(scores.get((i, kind), 0), 1 - rest)
+
+
+def test_graph_against_plain_scores(spark):
+    import random
+
+    rng = random.Random(4)
+    edges = {}
+    for _ in range(600):
+        i = rng.randrange(60)
+        kind = i % 2 if i % 3 else None
+        edges[f"p{(i % 2) * 5 + rng.randrange(5) if rng.random() < 0.95 else rng.randrange(10)}", f"i{i}", kind] = rng.randrange(1, 5)
+    rows = [(*k, n) for k, n in edges.items()]
+    df = spark.createDataFrame(rows, "pattern string, instance string, seed int, n long")
+    scores, patterns = pii.score_graph(df, min_seeds=3, min_confidence=0.5)
+    want_scores, want_patterns = brute_scores(rows, 3, 0.5)
+    assert {(r["pattern"], r["kind"]): round(r["confidence"], 9) for r in patterns.collect()} == {k: round(v, 9) for k, v in want_patterns.items()} != {}
+    assert {(r["instance"], r["kind"]): round(r["score"], 9) for r in scores.collect()} == {k: round(v, 9) for k, v in want_scores.items()}
+
+
+def test_a_hundred_thousand_matches_in_one_text(spark):
+    import time
+
+    text = " ".join(f"{i % 256}.1.2.3 x{i}" for i in range(50_000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.time()
+    row = pii.find_pii(df).first()
+    took = time.time() - began
+    assert [tuple(s) for s in row["base"]] == base(text) and took < 60
+
+
 def test_digest_columns_and_odd_rows(spark, sf, odd, nothing):
     row = pii.op6_pii(spark, sf).first()
     assert list(row.asDict()) == ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
