@@ -22,21 +22,21 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.llm.common import small_batches
 
 UNDETERMINED = "und"
-#: What is learned from: so many rows of each language at most, and so many words of a row, at evenly spaced places.
-ROWS_PER_LANGUAGE, WORDS_PER_ROW = 400, 128
+#: What is learned from: so many different texts of each language at most, each of them whole.
+ROWS_PER_LANGUAGE = 200
 SPAN, SPANS = 16, 4
 BITS, EPOCHS, RATE, L2, SEED = 17, 4, 0.05, 1e-6, 5
 LEXICON_WORDS = 2000
 #: Code points of a unit; longer runs of letters, as in scripts without spaces, are several units.
 UNIT = 24
-#: More are an error; so what is broadcast and held per language is bounded.
-MAX_LANGUAGES = 256
+#: Weights at most: with many languages features share more rows, so the model stays as small.
+MAX_WEIGHTS = 1 << 22
 #: Words of one step of labelling; texts are never cut.
 STEP_WORDS = 1 << 17
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -175,6 +175,8 @@ def fit(rows: list[tuple[str, list[str]]], bits: int = BITS, epochs: int = EPOCH
     languages = tuple(sorted({lang for lang, words in rows if words}))
     k, rng = len(languages), np.random.default_rng(seed)
     rows = [(lang, _units(pa.array(ws, pa.string())).flatten().to_pylist()) for lang, ws in rows]
+    while bits > 8 and k << bits > MAX_WEIGHTS:
+        bits -= 1
     words = pa.array([w for _, ws in rows for w in ws], pa.string())
     labels = np.repeat([languages.index(lang) if ws else 0 for lang, ws in rows], [len(ws) for _, ws in rows]).astype(np.int64)
     weights, transitions, start = np.zeros((1 << bits, k)), np.zeros((k, k)), np.zeros(k)
@@ -186,14 +188,13 @@ def fit(rows: list[tuple[str, list[str]]], bits: int = BITS, epochs: int = EPOCH
     coded = pc.dictionary_encode(words)
     feats, n = features(coded.dictionary, lexicon, bits)
     index = coded.indices.to_numpy()
-    spans = [(a, min(a + SPAN, b)) for a0, b in _row_bounds(rows) for a in range(a0, b, SPAN) if min(a + SPAN, b) - a == SPAN]
-    spans += [(a, b) for a, b in _row_bounds(rows) if 0 < b - a < SPAN]
+    spans = [(max(min(a, b - SPAN), a0), b if a + SPAN > b else a + SPAN) for a0, b in _row_bounds(rows) for a in range(a0, b, SPAN)]  # the last of a row ends with it
     full = np.array([np.resize(np.arange(a, b), SPAN) for a, b in spans])
     moments = [np.zeros_like(x) for x in (weights, weights, transitions, transitions, start, start)]
     step, size = 0, 32
     for _ in range(epochs):
         shuffled = full[rng.permutation(len(full))]
-        shuffled = shuffled[: max(len(shuffled) // SPANS * SPANS, 0)] if len(shuffled) >= SPANS else np.resize(shuffled, (SPANS, SPAN))
+        shuffled = np.resize(shuffled, (-(-len(shuffled) // SPANS) * SPANS, SPAN))  # the first again, where the last sequence is short
         sequences = shuffled.reshape(-1, SPANS * SPAN)
         for at in range(0, len(sequences), size):
             batch = sequences[at : at + size]
@@ -226,33 +227,24 @@ def _row_bounds(rows: list[tuple[str, list[str]]]) -> list[tuple[int, int]]:
     return list(zip([0, *ends[:-1]], ends))
 
 
-def training_rows(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, words_per_row: int = WORDS_PER_ROW) -> list[tuple[str, list[str]]]:
-    """A bounded sample of rows with a language: of each the rows whose text hashes lowest, and spans spread over each text.
+def training_rows(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> list[tuple[str, list[str]]]:
+    """A bounded sample of rows with a language: of each the ``rows_per_language`` different texts whose hashes are lowest, whole.
 
-    Distinct texts are counted first, so that a hash threshold per language keeps
-    about twice what is needed, however often a text is repeated; the bound holds
-    after the sort by hash.
+    However often a text is repeated, it is one; a language with fewer texts gives
+    all of them.  Rows without text or language take no part.
     """
     usable = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = usable.select("lang", F.xxhash64("text").alias("copies")).distinct().groupBy("lang").count()
-    if counts.limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    share = counts.select("lang", (F.lit(2.0 * rows_per_language) / F.col("count")).alias("share"))
-    part = (F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / float(1 << 20)).alias("part")
+    hashes = usable.select("lang", F.xxhash64("text").alias("h")).distinct()
+    # a threshold for each language that keeps about twice what is needed, then the lowest of what is kept
+    counts = hashes.groupBy("lang").count()
+    most = F.lit(4.0 * rows_per_language + 100) / F.col("count") * float(1 << 20)
+    near = hashes.join(counts, "lang").where(F.pmod(F.xxhash64("h"), F.lit(1 << 20)) < most)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("h"), F.lit(1 << 20)), "h"))
+    chosen = near.withColumn("place", place).where(F.col("place") <= rows_per_language).select("lang", "h")
+    some = usable.withColumn("h", F.xxhash64("text")).join(chosen, ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
     words = F.split(F.regexp_replace(letters_only(F.col("text")), rf"([^ ]{{{UNIT}}})(?=[^ ])", "$1 "), " ")
-    some = usable.select("lang", "text", part).join(F.broadcast(share), "lang").where(F.col("part") < F.col("share"))
-    spans = F.floor(F.size("words") / SPAN)
-    kept = words_per_row // SPAN
-    every = F.transform(F.sequence(F.lit(0), F.lit(kept - 1)), lambda i: F.slice("words", (i * spans / kept).cast("int") * SPAN + 1, SPAN))
-    bounded = F.when(F.size("words") <= words_per_row, F.col("words")).otherwise(F.flatten(every))
-    once = some.groupBy("lang", "part", F.xxhash64("text").alias("copies")).agg(F.any_value("text").alias("text"))
-    rows = once.select("lang", "part", words.alias("words")).select("lang", "part", bounded.alias("words")).orderBy("lang", "part", "words")
-    taken: dict[str, list] = {}
-    for row in rows.toLocalIterator():
-        mine = taken.setdefault(row["lang"], [])
-        if len(mine) < rows_per_language:
-            mine.append((row["lang"], [w for w in row["words"] if w]))
-    return [x for lang in sorted(taken) for x in taken[lang]]
+    rows = some.select("lang", "h", words.alias("words")).orderBy("lang", "h")
+    return [(row["lang"], [w for w in row["words"] if w]) for row in rows.toLocalIterator()]
 
 
 def label(docs: DataFrame, model: Model, word_labels: bool = False, carry: Sequence[str] = (), certainty: bool = False) -> DataFrame:

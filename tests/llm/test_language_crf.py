@@ -53,8 +53,43 @@ def test_nothing_to_learn_from(odd, nothing):
 
 
 def test_training_bound(documents):
-    rows = crf.training_rows(documents, rows_per_language=3, words_per_row=32)
-    assert max(len(w) for _, w in rows) <= 32 and all(sum(lang == x for x, _ in rows) <= 3 for lang in ("en", "fr"))
+    rows = crf.training_rows(documents, rows_per_language=3)
+    assert all(sum(lang == x for x, _ in rows) <= 3 for lang in ("en", "fr"))
+    whole = {tuple(r["w"]) for r in documents.select(F.split(crf.letters_only(F.col("text")), " ").alias("w")).collect()}
+    assert all(any(w == tuple("".join(ws).split()) or "".join(w) == "".join(ws) for w in whole) for _, ws in rows)
+
+
+def test_every_language_is_learned(spark):
+    repeated = spark.range(20_000).selectExpr("'fr' AS lang", "'bonjour tout le monde' AS text")
+    few = spark.range(50).selectExpr("'en' AS lang", "concat('hello world ', translate(id, '0123456789', 'abcdefghij')) AS text")
+    rows = crf.training_rows(repeated.union(few))
+    assert {lang for lang, _ in rows} == {"fr", "en"} and len(rows) == 51
+    many = [(f"l{i:03d}", f"{chr(0x4E00 + i) * 4} {chr(0x5E00 + i) * 3}".split()) for i in range(300)]
+    assert len(crf.fit(many, epochs=1).languages) == 300
+
+
+def test_query_against_all_paths(spark):
+    """Label, score and ties of short texts from the sum over all label sequences."""
+    from itertools import product
+
+    import pyarrow as pa
+
+    rows = [("xa", ["abab", "baba", "aabb"]), ("xb", ["cdcd", "dcdc", "ccdd"]), ("xc", ["efef", "fefe"])]
+    model = crf.fit(rows, bits=10)
+    texts = ["abab cdcd efef", "Dcdc", "baba baba fefe cdcd aabb", "12", None, "zz zz"]
+    got = {r["doc_id"]: r for r in crf.label(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for i, text in enumerate(texts):
+        words = [w for w in (text or "").lower().split() if w.isalpha()]
+        if not words:
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0)
+            continue
+        scores, total = crf.emissions(pa.array(words), model), np.zeros((len(words), 3))
+        for path in product(range(3), repeat=len(words)):
+            weight = np.exp(model.start[path[0]] + sum(scores[j, s] for j, s in enumerate(path)) + sum(model.transitions[p, q] for p, q in zip(path, path[1:])))
+            for j, s in enumerate(path):
+                total[j, s] += weight
+        mean = (total / total.sum(1, keepdims=True)).mean(0)
+        assert got[i]["lang_pred"] == model.languages[int(mean.argmax())] and abs(got[i]["score"] - mean.max()) < 1e-9
 
 
 def test_other_columns_are_no_input(odd, documents):
