@@ -22,10 +22,22 @@ TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 _SPACED_WORD = r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"
 
 
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """The documents as a table with ``row_id``: ids may be null or repeat, and rows too."""
+    return stage(docs.select(*COLUMNS).withColumn("row_id", F.monotonically_increasing_id()), f"pipeline-{name}")
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts that are in none of the labelled languages go: without a letter, or of words that are of no language in the mean.  Texts of several languages stay."""
+    """Texts that are in none of the labelled languages go: null, without a letter, or of words that are of no language in the mean.
+
+    Texts of several languages stay.  If no row has a language and a text there is
+    nothing to judge by, and all rows stay.  Rows that are equal are treated alike;
+    columns other than those of ``documents`` are left out; an empty table stays empty.
+    """
     release(spark, executors=True)
     model = language_crf.fit(language_crf.training_rows(docs.select("text", "lang")))
+    if not model.languages:
+        return docs.select(*COLUMNS)
     keyed = docs.select(*COLUMNS, F.xxhash64("text").alias("text_key"))
     labelled = language_crf.label(keyed.select("doc_id", "text", "text_key"), model, carry=["text_key"], certainty=True)
     rejected = (F.col("lang_pred") == language_crf.UNDETERMINED) | (F.col("certainty") < MIN_LANGUAGE_CERTAINTY)
@@ -35,7 +47,12 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Runs of lines that stand earlier in the corpus go; a document that was nothing else goes with them."""
+    """Runs of lines that stand earlier in the corpus go; a document that was nothing else goes with them.
+
+    Null and empty texts stay as they are, and equal rows are one document here, so
+    all of them stay alike.  Rows that share an id are in order of a hash of their
+    text; a null id comes first.  Other columns are left out.
+    """
     out = line_dedup.dedup_lines(docs.select(*COLUMNS))
     empty = ~F.coalesce("kept", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     kept = out.where(~((F.col("n_removed") > 0) & empty)).withColumn("text", F.col("kept"))
@@ -43,16 +60,28 @@ def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents connected by near-duplicate links the one with the smallest doc_id stays."""
+    """Of rows connected by near-duplicate links the one with the smallest doc_id stays, null last.
+
+    Rows that are equal are copies: one of them stays.  Rows that share an id are
+    documents of their own.  Texts that are null or without words are linked with
+    nothing, and all stay.  Other columns are left out.
+    """
     release(spark, executors=True)
-    found = ngram_join.link_components(docs.select("doc_id", "text"))
-    gone = stage(found.where("doc_id <> component_id").select("doc_id"), "pipeline-duplicates")
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    rows = numbered(docs, "to-compare")
+    found = ngram_join.link_components(rows.select(F.col("row_id").alias("doc_id"), "text")).select(F.col("doc_id").alias("row_id"), "component_id")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_id")).alias("least")
+    stays = found.join(rows.select("row_id", "doc_id"), "row_id").groupBy("component_id").agg(least)
+    return rows.join(stays.select(F.col("least.row_id").alias("row_id")), "row_id", "left_semi").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The words that the mix takes of each document, those taken again after the rest; documents without any go."""
-    mixed = mixing.mix(docs.select("doc_id", "text", "source")).where("taken > 0").select("doc_id", "pieces")
+    """The words that the mix takes of each row, those taken again after the rest; rows without any go.
+
+    Equal rows and rows that share an id are documents of their own; a null source
+    is a source; null and empty texts have no words and go.  Other columns are left out.
+    """
+    rows = numbered(docs, "to-mix")
+    mixed = mixing.mix(rows.select(F.col("row_id").alias("doc_id"), "text", "source")).where("taken > 0").select(F.col("doc_id").alias("row_id"), "pieces")
 
     def text_of(words):
         def copy(number: int):
@@ -63,12 +92,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         return F.array_join(F.filter(copies, lambda c: c != ""), "\n")
 
     words = F.regexp_extract_all("text", F.lit(_SPACED_WORD), F.lit(0))
-    joined = docs.select(*COLUMNS).join(mixed, "doc_id")
+    joined = rows.join(mixed, "row_id")
     return joined.withColumn("text", let(words, text_of)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def encode_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids (little-endian unsigned 32-bit) and the SHA-256 of the text that they decode to."""
+    """doc_id, n_tokens, ids (little-endian unsigned 32-bit) and the SHA-256 of the text that they decode to; a row for each row, whatever its id or text."""
     release(spark, executors=True)
     ranks = byte_bpe.read_ranks(public_tokenizers.path(TOKENIZER))
     coded = byte_bpe.encode(docs.select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
