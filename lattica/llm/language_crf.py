@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.llm.common import small_batches
+from lattica.llm.common import small_batches, stage
 
 UNDETERMINED = "und"
 #: What is learned from: so many different texts of each language at most, each of them whole.
@@ -241,6 +241,7 @@ def training_rows(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAG
     near = hashes.join(counts, "lang").where(F.pmod(F.xxhash64("h"), F.lit(1 << 20)) < most)
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("h"), F.lit(1 << 20)), "h"))
     chosen = near.withColumn("place", place).where(F.col("place") <= rows_per_language).select("lang", "h")
+    chosen = stage(chosen, "language-sample")  # its size is known then, and Spark broadcasts it if that is small
     some = usable.withColumn("h", F.xxhash64("text")).join(chosen, ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
     words = F.split(F.regexp_replace(letters_only(F.col("text")), rf"([^ ]{{{UNIT}}})(?=[^ ])", "$1 "), " ")
     rows = some.select("lang", "h", words.alias("words")).orderBy("lang", "h")
