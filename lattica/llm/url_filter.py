@@ -19,10 +19,15 @@ from pyspark.sql import types as T
 from lattica.llm.common import lower_ascii
 from lattica.shipping import ship
 
-STRICT_TERMS = ("adult", "casino", "escort", "gambling", "porn", "sex", "viagra", "xxx")
+STRICT_TERMS = (
+    "adult", "camgirl", "casino", "escort", "gambling", "hentai", "milf", "nsfw", "porn", "porno", "sex", "slots", "viagra", "xxx",
+)
+#: Term -> weight; two or more distinct ones block together from SOFT_LIMIT on.
 SOFT_TERMS = {
-    "ads": 1.0, "bet": 1.0, "bonus": 1.0, "cheap": 1.0, "click": 1.0, "dating": 1.0, "farm": 1.0,
-    "free": 1.0, "loan": 1.0, "pharma": 1.0, "pills": 1.0, "spam": 1.0, "track": 1.0, "win": 1.0,
+    "ads": 0.75, "affiliate": 1.0, "bet": 1.25, "betting": 1.5, "bonus": 1.0, "buy": 0.5, "cheap": 1.0, "click": 0.75, "coupon": 0.75,
+    "crack": 1.25, "dating": 1.5, "deal": 0.5, "discount": 0.5, "farm": 1.0, "free": 0.75, "jackpot": 1.5, "keygen": 1.75, "loan": 1.25,
+    "lottery": 1.25, "offer": 0.5, "payday": 1.5, "pharma": 1.25, "pills": 1.5, "poker": 1.5, "promo": 0.75, "replica": 1.25, "seo": 1.0,
+    "spam": 1.5, "torrent": 1.25, "track": 1.0, "warez": 1.75, "win": 1.0,
 }
 SOFT_LIMIT = 2.0
 #: (host, path, verdict)
@@ -51,6 +56,18 @@ def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] =
     return name, verdict
 
 
+def vocabulary(table: DataFrame, most: int = 1_000_000) -> tuple[list[str], dict[str, float]]:
+    """Strict terms and soft terms with weights from a table (term, weight): a null weight is strict, the largest weight of a term counts.
+
+    The terms go into one automaton on every worker, so more than ``most`` are an error; null and empty terms are left out.
+    """
+    rows = table.where("term IS NOT NULL AND term <> ''").groupBy(lower_ascii(F.col("term")).alias("term"))
+    rows = rows.agg(F.max(F.col("weight").isNull()).alias("strict"), F.max("weight").cast("double").alias("weight")).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} terms")
+    return sorted(r["term"] for r in rows if r["strict"]), {r["term"]: r["weight"] for r in sorted(rows) if not r["strict"]}
+
+
 def automaton(terms: Iterable[str]) -> ahocorasick.Automaton:
     machine = ahocorasick.Automaton()
     for term in terms:
@@ -139,6 +156,7 @@ def sql() -> str:
     hit = lambda t: f"regexp_matches({low}, '(^|[^a-z0-9]){t}([^a-z0-9]|$)')"
     any_strict = " OR ".join(hit(t) for t in STRICT_TERMS)
     n_soft = " + ".join(f"({hit(t)})::int" for t in SOFT_TERMS)
+    weight = " + ".join(f"({hit(t)})::int * {w}" for t, w in SOFT_TERMS.items())
     by_length = sorted(RULES, key=lambda r: (-len(r[0] + r[1]), r[0] + r[1]))
     fits = lambda h, p: f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
     rule = " ".join(f"WHEN {fits(h, p)} THEN '{h}{p}'" for h, p, _ in by_length)
@@ -150,5 +168,5 @@ WITH parts AS (
          regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path
   FROM pages)
 SELECT page_id, host, path, CASE {rule} ELSE NULL END AS rule,
-       CASE {verdict} WHEN {any_strict} OR ({n_soft}) >= 2 THEN 'block' ELSE 'allow' END AS verdict
+       CASE {verdict} WHEN {any_strict} OR (({n_soft}) > 1 AND ({weight}) >= {SOFT_LIMIT}) THEN 'block' ELSE 'allow' END AS verdict
 FROM parts"""

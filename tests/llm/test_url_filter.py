@@ -38,3 +38,13 @@ def test_overlapping_terms_and_boundaries():
     machine = u.automaton(["ads", "ads-track", "track"])
     assert u.bounded_hits(machine, "http://ads-track.io") == {"ads", "ads-track", "track"}
     assert u.bounded_hits(machine, "http://badads.io/tracks") == set()
+
+
+def test_weights_from_a_table(spark):
+    terms = spark.createDataFrame([("Casino", None), ("light", 0.5), ("heavy", 1.6), ("heavy", 1.0), ("lone", 9.0), ("", 1.0), (None, None)], "term string, weight double")
+    strict, soft = u.vocabulary(terms)
+    assert strict == ["casino"] and soft == {"heavy": 1.6, "light": 0.5, "lone": 9.0}
+    urls = ["a://casino.io", "a://light.heavy.io", "a://lone.io", "a://light.io/light", "a://heavy.io/lone"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: (r["verdict"], r["soft_weight"]) for r in u.judge_urls(pages, strict=strict, soft=soft).collect()}
+    assert got == {0: ("block", 0.0), 1: ("block", 2.1), 2: ("allow", 9.0), 3: ("allow", 0.5), 4: ("block", 10.6)}
