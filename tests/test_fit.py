@@ -127,3 +127,16 @@ def test_effects_rebuild_y(six):
 def test_clipping():
     v = clip_negative(np.array([[1.0, 2.0], [2.0, 1.0]]))
     assert np.linalg.eigvalsh(v).min() > -1e-12
+
+
+def test_tables_solve_as_the_driver_does(spark):
+    """Connected workers and firms, some levels with one row; the same effects and coefficients in a few steps."""
+    rng = np.random.default_rng(12)
+    n = 1200
+    worker, firm = rng.integers(0, 150, n), rng.integers(0, 25, n)
+    x = rng.normal(size=n) + worker / 50
+    y = 1.5 * x + worker / 10 - firm / 3 + rng.normal(size=n)
+    df = spark.createDataFrame([(float(a), float(b), int(w), int(f)) for a, b, w, f in zip(y, x, worker, firm)], "y double, x double, worker int, firm int").coalesce(1).cache()
+    here, there = (fit(df, "y ~ x, fe(worker firm)", options=FitOptions(tolerance=1e-7, local_cells=c)) for c in (5_000_000, 0))
+    assert there.converged and there.iterations < 60
+    assert there.beta == pytest.approx(here.beta, abs=1e-7) and there.se == pytest.approx(here.se, rel=1e-6)
