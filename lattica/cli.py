@@ -71,9 +71,12 @@ def parser() -> argparse.ArgumentParser:
 
 def estimate(spark: SparkSession, config: RunConfig):
     """Fit what a configuration asks for; without a formula, all roles of the panel file."""
-    tabular = config.data.lower().endswith((".parquet", ".csv", ".pkl", ".pickle"))
-    if tabular:
-        df, spec = read_table(spark, config.data, guess_format(config.data)), None
+    try:
+        kind = guess_format(config.data)
+    except ValueError:  # not a table's suffix: a panel file
+        kind = None
+    if kind:
+        df, spec = read_table(spark, config.data, kind), None
     else:
         df, spec = read_panel(spark, config.data)
         if config.fe_names:
@@ -113,7 +116,7 @@ def main(argv: list[str] | None = None) -> int:
         config = load_config(args.config) if args.config else RunConfig()
         for key in RunConfig.__annotations__:
             value = getattr(args, key, None)
-            if value not in (None, False):
+            if value is not None and value is not False:  # 0 is a value
                 setattr(config, key, value)
         print(estimate(spark, config).summary())
     elif args.command == "convert":
