@@ -210,19 +210,25 @@ class Dictionary:
     ids: np.ndarray
 
     @classmethod
-    def of(cls, table: DataFrame, small: bool) -> Dictionary | None:
-        """Packed on the executors, and sorted here; None if two of the pieces share a hash."""
-        kind = np.dtype("<u2" if small else "<u4")
+    def of(cls, table: DataFrame, small: bool, most: int) -> Dictionary | None:
+        """Packed on the executors, and sorted here, with ``most`` ids of a piece; None if two of the pieces share a hash.
+
+        Partitions come one by one, so the JVM of the driver holds one at a time.
+        """
+        kind, size = np.dtype("<u2" if small else "<u4"), np.min_scalar_type(most)
 
         def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 ids = batch.column(1).flatten().to_numpy().astype(kind)
-                n = pc.list_value_length(batch.column(1)).to_numpy().astype("<u4")
+                n = pc.list_value_length(batch.column(1)).to_numpy().astype(size)
                 cells = _word_hashes(batch.column(0)).tobytes(), n.tobytes(), ids.tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in cells], names=["h", "n", "ids"])
 
-        packed = table.select("word", "ids").mapInArrow(pack, "h binary, n binary, ids binary").toArrow()
-        hashes, n, ids = (np.frombuffer(b"".join(packed[c].to_pylist()), t) for c, t in (("h", np.uint64), ("n", "<u4"), ("ids", kind)))
+        joined = bytearray(), bytearray(), bytearray()
+        for row in table.select("word", "ids").mapInArrow(pack, "h binary, n binary, ids binary").toLocalIterator():
+            for whole, part in zip(joined, row):
+                whole += part
+        hashes, n, ids = (np.frombuffer(whole, t) for whole, t in zip(joined, (np.uint64, size, kind)))
         order = np.argsort(hashes)
         hashes = hashes[order]
         if (hashes[1:] == hashes[:-1]).any():
@@ -233,7 +239,7 @@ class Dictionary:
             some = n[at : at + (1 << 19)].astype(np.int64)
             ends = np.cumsum(some)
             parts.append(ids[np.repeat(first[at : at + len(some)] - (ends - some), some) + np.arange(ends[-1])])
-        return cls(hashes, n.astype(np.min_scalar_type(int(n.max(initial=0)))), np.concatenate(parts) if parts else ids)
+        return cls(hashes, n, np.concatenate(parts) if parts else ids)
 
     def starts(self) -> np.ndarray:
         """Where the ids of each piece begin."""
@@ -300,11 +306,12 @@ def encode(
     for token, rank in ranks.items():
         tokens[rank] = token
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids binary, decoded binary"
-    size = dictionary.agg(F.coalesce(F.sum(F.octet_length("word") + 4 * F.size("ids") + 12), F.lit(0))).first()[0]
-    known = Dictionary.of(dictionary, len(tokens) <= 1 << 16) if size <= broadcast_bytes else None
+    size, most = dictionary.agg(F.coalesce(F.sum(F.octet_length("word") + 4 * F.size("ids") + 12), F.lit(0)), F.coalesce(F.max(F.size("ids")), F.lit(0))).first()
+    release(spark)
+    known = Dictionary.of(dictionary, len(tokens) <= 1 << 16, most) if size <= broadcast_bytes else None
     if known:
         sent = spark.sparkContext.broadcast(known)
-
+        del known  # it is in the broadcast's file
         release(spark, executors=True)  # of what the fold has left
 
         def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,10 +72,15 @@ def small_batches(spark: SparkSession, rows: int = 1024) -> None:
 def release(spark: SparkSession, executors: bool = False) -> None:
     """Let Spark drop shuffle files and broadcasts of frames that nothing refers to any more: it does so as the driver collects garbage.
 
+    The driver's Python gives free memory back as well.
     With ``executors`` they collect theirs too, and heaps that one stage has
     grown shrink before the next one's Python workers start.
     """
     gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library; else the allocator keeps what it has
+    if trim:
+        trim(0)
     spark.sparkContext._jvm.System.gc()
     if executors:
         n = 2 * spark.sparkContext.defaultParallelism

@@ -122,12 +122,28 @@ def emissions(words: pa.Array, model: Model) -> np.ndarray:
     """Mean feature weight of each language, scaled by the root of the number of features."""
     out = np.zeros((len(words), len(model.languages)))
     padded = np.vstack([model.weights, np.zeros((1, len(model.languages)))]).astype(np.float32)  # -1 finds the zeros
-    for at in range(0, len(words), 1 << 12):
-        rows, n = features(words.slice(at, 1 << 12), model.lexicon, model.bits)
+    at = 0
+    for some in _slices(words):
+        rows, n = features(some, model.lexicon, model.bits)
         out[at : at + len(rows)] = padded[rows].sum(1) / np.sqrt(n)[:, None]
+        at += len(rows)
     return out
 
 
+def _slices(words: pa.Array, size: int = 1 << 12) -> Iterator[pa.Array]:
+    return (words.slice(at, size) for at in range(0, len(words), size))
+
+
+def _padded(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Feature rows of several slices under each other, with -1 behind the shorter."""
+    out = np.full((sum(len(rows) for rows, _ in parts), max(rows.shape[1] for rows, _ in parts)), -1, np.int32)
+    at = 0
+    for rows, _ in parts:
+        out[at : at + len(rows), : rows.shape[1]] = rows
+        at += len(rows)
+    return out, np.concatenate([n for _, n in parts])
+
+
 def forward_backward(scores: np.ndarray, bounds: np.ndarray, transitions: np.ndarray, start: np.ndarray) -> np.ndarray:
     """Label probabilities of every word; ``bounds`` cuts ``scores`` into sequences of one word or more.
 
@@ -182,13 +198,16 @@ def fit(rows: list[tuple[str, list[str]]], bits: int = BITS, epochs: int = EPOCH
     weights, transitions, start = np.zeros((1 << bits, k)), np.zeros((k, k)), np.zeros(k)
     if not k:
         return Model(languages, weights, transitions, start, np.zeros(0, np.uint64), bits)
-    hashes = word_hashes(_code_points(words)[0])
-    values, counts = np.unique(hashes, return_counts=True)
-    lexicon = np.sort(values[np.lexsort((values, -counts))[:LEXICON_WORDS]])
+    bounds = _row_bounds(rows)
+    del rows
     coded = pc.dictionary_encode(words)
-    feats, n = features(coded.dictionary, lexicon, bits)
     index = coded.indices.to_numpy()
-    spans = [(max(min(a, b - SPAN), a0), b if a + SPAN > b else a + SPAN) for a0, b in _row_bounds(rows) for a in range(a0, b, SPAN)]  # the last of a row ends with it
+    hashes = np.concatenate([word_hashes(_code_points(some)[0]) for some in _slices(coded.dictionary)])
+    values, same = np.unique(hashes, return_inverse=True)
+    counts = np.bincount(same, np.bincount(index, minlength=len(hashes)))
+    lexicon = np.sort(values[np.lexsort((values, -counts))[:LEXICON_WORDS]])
+    feats, n = _padded([features(some, lexicon, bits) for some in _slices(coded.dictionary)])
+    spans = [(max(min(a, b - SPAN), a0), b if a + SPAN > b else a + SPAN) for a0, b in bounds for a in range(a0, b, SPAN)]  # the last of a row ends with it
     full = np.array([np.resize(np.arange(a, b), SPAN) for a, b in spans])
     moments = [np.zeros_like(x) for x in (weights, weights, transitions, transitions, start, start)]
     step, size = 0, 32
