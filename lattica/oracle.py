@@ -113,6 +113,35 @@ SQL = {
     "u AS (SELECT grouping(l_suppkey) + grouping(l_linenumber) AS absent, grouping(l_suppkey) AS no_supp, sum((y - beta * a) * a) AS sa FROM d, p GROUP BY GROUPING SETS ((l_suppkey), (l_linenumber), (l_suppkey, l_linenumber))), "
     "m AS (SELECT sum(CASE WHEN absent = 1 THEN sa * sa ELSE -sa * sa END) AS meat, least(count(*) FILTER (absent = 1 AND no_supp = 0), count(*) FILTER (absent = 1 AND no_supp = 1)) AS g FROM u) "
     f"SELECT 'l_quantity' AS term, {_r('beta')} AS estimate, {_r('sqrt(greatest(0, (n - 1) / (n - 1 - 1) * (g / (g - 1)) * meat / (aa * aa)))')} AS std_error FROM p, m",
+    "fe_cluster_three": f"WITH {LINES}, {_demeaned(_XY, _THREE, 12)}, {_SOLVE}, "
+    + "u AS (SELECT "
+    + " + ".join(f"grouping({d})" for d in _THREE)
+    + f" AS absent, {_group_of(_THREE)} AS dims, sum((y - ba * a - b2 * b) * a) AS sa, sum((y - ba * a - b2 * b) * b) AS sb FROM d, (SELECT ba, b2 FROM e) GROUP BY GROUPING SETS ({_sets(_THREE)})), "
+    "c AS (SELECT dims, any_value(absent) AS absent, count(*) AS g, sum(sa * sa) AS aa, sum(sa * sb) AS ab, sum(sb * sb) AS bb FROM u GROUP BY dims), "
+    "m AS (SELECT min(g) FILTER (absent = 2) AS g, sum(CASE WHEN absent = 1 THEN -aa ELSE aa END) AS maa, sum(CASE WHEN absent = 1 THEN -ab ELSE ab END) AS mab, sum(CASE WHEN absent = 1 THEN -bb ELSE bb END) AS mbb FROM c), "
+    "k AS (SELECT e.*, m.*, (n - 1) / (n - 2 - 1) * (g / (g - 1)) AS k FROM e, m), "
+    "v AS (SELECT ba, b2, k * (iaa * iaa * maa + 2 * iaa * iab * mab + iab * iab * mbb) AS va, k * (iab * iab * maa + 2 * iab * ibb * mab + ibb * ibb * mbb) AS vb, "
+    "k * (iaa * iab * maa + (iaa * ibb + iab * iab) * mab + iab * ibb * mbb) AS vab FROM k), "
+    # the repair of a 2 x 2 matrix: of its eigenvalues the negative ones count as zero
+    "w AS (SELECT *, (va + vb) / 2 + sqrt((va - vb) * (va - vb) / 4 + vab * vab) AS l1, (va + vb) / 2 - sqrt((va - vb) * (va - vb) / 4 + vab * vab) AS l2 FROM v) "
+    + _coefficients(*(f"CASE WHEN l2 >= 0 THEN {x} WHEN l1 <= 0 THEN 0 ELSE l1 * ({x} - l2) / (l1 - l2) END" for x in ("va", "vb")), "w"),
+    "fe_two_stage_clustered": f"WITH {_iv({'z1': 'l_quantity + l_orderkey % 7', 'z2': 'l_quantity + l_partkey % 5'})}, {_demeaned({**_XY, 'z1': 'z1', 'z2': 'z2'}, ('l_suppkey',))}, "
+    "q AS (SELECT sum(b * a) / sum(b * b) AS ha, sum(b * y) / sum(b * b) AS hy, sum(b * z1) / sum(b * b) AS h1, sum(b * z2) / sum(b * b) AS h2 FROM d), "
+    # everything less what the exogenous regressor explains
+    "o AS (SELECT d.l_suppkey, d.a, d.b, d.y, a - ha * b AS ra, y - hy * b AS ry, z1 - h1 * b AS r1, z2 - h2 * b AS r2, ha, hy FROM d, q), "
+    "t AS (SELECT sum(r1 * r1) AS s11, sum(r1 * r2) AS s12, sum(r2 * r2) AS s22, sum(r1 * ra) AS s1a, sum(r2 * ra) AS s2a FROM o), "
+    "f AS (SELECT (s22 * s1a - s12 * s2a) / (s11 * s22 - s12 * s12) AS p1, (s11 * s2a - s12 * s1a) / (s11 * s22 - s12 * s12) AS p2 FROM t), "
+    "h AS (SELECT o.*, p1 * r1 + p2 * r2 AS rh, p1 * r1 + p2 * r2 + ha * b AS hat FROM o, f), "
+    "e AS (SELECT count(*) AS n, sum(rh * ry) / sum(rh * ra) AS ba, any_value(hy) - sum(rh * ry) / sum(rh * ra) * any_value(ha) AS b2, sum(hat * a) AS qaa, sum(a * b) AS qab, sum(b * b) AS qbb FROM h), "
+    "i AS (SELECT *, qbb / (qaa * qbb - qab * qab) AS iaa, qaa / (qaa * qbb - qab * qab) AS ibb, -qab / (qaa * qbb - qab * qab) AS iab FROM e), "
+    "u AS (SELECT l_suppkey, sum((y - ba * a - b2 * b) * hat) AS sa, sum((y - ba * a - b2 * b) * b) AS sb FROM h, (SELECT ba, b2 FROM i) GROUP BY l_suppkey), "
+    "m AS (SELECT count(*) AS g, sum(sa * sa) AS maa, sum(sa * sb) AS mab, sum(sb * sb) AS mbb FROM u), "
+    "v AS (SELECT i.*, m.*, (n - 1) / (n - 2 - 1) * (g / (g - 1)) AS k FROM i, m) "
+    + _coefficients("k * (iaa * iaa * maa + 2 * iaa * iab * mab + iab * iab * mbb)", "k * (iab * iab * maa + 2 * iab * ibb * mab + ibb * ibb * mbb)", "v"),
+    # what the formula means, written out
+    "fe_formula_terms": "SELECT kind, place::INTEGER AS place, name FROM (VALUES ('term', 0, 'a'), ('term', 1, 'i.b'), ('term', 2, 'e'), ('term', 3, 'i.f'), "
+    "('interaction', 0, 'c&i.d'), ('interaction', 1, 'e&i.f'), ('endogenous', 0, 'a'), ('endogenous', 1, 'i.b'), ('instrument', 0, 'z1'), ('instrument', 1, 'i.z2'), "
+    "('fe', 0, 'g'), ('fe', 1, 'h'), ('cluster', 0, 'g')) AS t(kind, place, name)",
     "fe_two_stage": f"WITH {_iv({'z': 'l_quantity + l_orderkey % 7'})}, {_demeaned({**_XY, 'z': 'z'}, ('l_suppkey',))}, "
     "q AS (SELECT count(*) AS n, sum(z * a) AS za, sum(z * b) AS zb, sum(z * y) AS zy, sum(b * a) AS ab, sum(b * b) AS bb, sum(b * y) AS byy, sum(z * z) AS zz FROM d), "
     "e AS (SELECT *, (zy * bb - byy * zb) / (za * bb - ab * zb) AS ba, (za * byy - ab * zy) / (za * bb - ab * zb) AS b2 FROM q), "
