@@ -25,6 +25,40 @@ def test_against_brute_force(spark, slices):
     assert sorted(map(tuple, got.collect())) == brute(rows, 10, 5)
 
 
+@pytest.mark.parametrize("query_bytes", [1, 400, 1 << 20])
+def test_groups_of_queries(spark, query_bytes):
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=7).tolist()) for i in range(200)] + [(None, [1.0] * 7), (3, rng.normal(size=7).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    got = t.top_k(df, F.col("vec_id") % 10 == 0, query_block=3, candidate_block=30, query_bytes=query_bytes)
+    assert sorted(map(tuple, got.collect())) == brute([r for r in rows if r[0] is not None], 10, 5)
+
+
+def test_groups_stay_within_the_limit():
+    assert t._groups([(0, 5), (3, 5), (1, 4), (4, 20), (7, 1)], 10) == [(0, 1), (3, 3), (4, 4), (7, 7)]
+    assert t._groups([], 10) == []
+
+
+def test_wide_vectors(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=5000).tolist()) for i in range(30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, t.top_k(df, F.col("vec_id") % 10 == 0).collect())) == brute(rows, 10, 5)
+
+
+@pytest.mark.parametrize("large", [1e10, 1e300])
+def test_products_beyond_a_long_are_an_error(spark, large):
+    df = spark.createDataFrame([(0, [large, 1.0]), (1, [large, 2.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError, match="64-bit"):
+        t.top_k(df, F.col("vec_id") == 0)
+
+
+def test_large_products_are_exact(spark):
+    rows = [(0, [2.0**22, 3.0]), (1, [2.0**22, 5.0]), (2, [-(2.0**22), 7.0]), (3, [2.0**21, 11.0]), (4, [2.0**22, 4.0]), (5, [0.0, 1.0]), (6, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, t.top_k(df, F.col("vec_id") % 5 == 0).collect())) == brute(rows, 5, 5)
+
+
 def test_few_candidates_and_none(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [2.0]), (50, [])], "vec_id long, embedding array<float>")
     got = t.top_k(df, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect()
