@@ -14,7 +14,9 @@ of triggers with several are sent as text.  They are the dictionary, and its
 suffix array, sorted by the first ``window`` bytes, puts suffixes with that much
 in common together; the parse turns the least text of each such interval into
 bytes to remove.  Suffixes of different triggers need no order, so no task holds
-more than its share of the dictionary.
+more than its share of the dictionary.  A trigger with more than ``HOT_PHRASES``
+phrases - a common string in very many contexts - would be one task's: its
+windows are dealt one by one instead, by a hash of their own bytes.
 """
 
 from __future__ import annotations
@@ -33,9 +35,11 @@ WINDOW, KEY = 50, 20
 BUCKET_BYTES = 24 << 20
 #: Windows whose suffix array is sorted at once.
 SORT_WINDOWS = 400_000
+#: Phrases from which a trigger's windows are dealt one by one.
+HOT_PHRASES = 4096
 _PARSE = "bucket int, phrases binary, docs binary, runs binary"
-_FOUND = "part int, docs binary, phrases binary, triggers binary"
-_ASKED = "doc_id long, phrases binary, triggers binary"
+_FOUND = "part int, docs binary, phrases binary, triggers binary, hot binary"
+_ASKED = "doc_id long, phrases binary, triggers binary, hot binary"
 _RUNS = "doc_id long, text_key long, starts binary, stops binary"
 _PHRASES = "bucket int, triggers binary, phrases binary, sizes binary, text binary, which binary, docs binary, keys binary, places binary"
 _LOW48 = np.uint64(2**48 - 1)
@@ -127,11 +131,11 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(columns, fields)], names=[n for n, _ in fields])
 
 
-def _resolve(table: pa.Table, parts: int) -> pa.Table:
-    """Of a bucket, by text: phrases that go whole, and triggers whose phrases differ; packed by parts of the texts."""
+def _resolve(table: pa.Table, parts: int, many: int) -> pa.Table:
+    """Of a bucket, by text: phrases that go whole, triggers whose phrases differ, and those of them with over ``many``; packed by parts of the texts."""
     t, p = _unpack48(table["phrases"].to_pylist(), 2)
     d = np.repeat(np.frombuffer(b"".join(table["docs"].to_pylist()), np.int64), np.frombuffer(b"".join(table["runs"].to_pylist()), np.int32))
-    whole, differ = np.ones(len(p), bool), np.zeros(len(p), bool)
+    whole, differ, hot = np.ones(len(p), bool), np.zeros(len(p), bool), np.zeros(len(p), bool)
     if table["bucket"][0].as_py() >= 0:
         order = np.lexsort((d, p, t))
         t, p, d = t[order], p[order], d[order]
@@ -141,23 +145,25 @@ def _resolve(table: pa.Table, parts: int) -> pa.Table:
         sizes = np.diff(np.append(starts, len(p)))
         whole = d > np.repeat(d[starts], sizes)
         at = np.flatnonzero(trigger)
-        several = np.add.reduceat(phrase.astype(np.int64), at) > 1
-        differ = ~whole & np.repeat(several, np.diff(np.append(at, len(p))))
+        count = np.repeat(np.add.reduceat(phrase.astype(np.int64), at), np.diff(np.append(at, len(p))))
+        differ = ~whole & (count > 1)
+        hot = differ & (count > many)
     rows = []
-    for number, (keep, hashes) in enumerate(((whole, p), (differ, t))):
+    for number, (keep, hashes) in enumerate(((whole, p), (differ, t), (hot, t))):
         docs, some = d[keep], hashes[keep]
         order, cuts, full = _deal(_bucket_of(docs.view(np.uint64), parts), parts)
         docs, some = docs[order], some[order]
         for i in full:
-            cells = [_pack48(some[cuts[i] : cuts[i + 1]]), b""]
-            rows.append((int(i), docs[cuts[i] : cuts[i + 1]].tobytes(), cells[number], cells[1 - number]))
+            cells = [b"", b"", b""]
+            cells[number] = _pack48(some[cuts[i] : cuts[i + 1]])
+            rows.append((int(i), docs[cuts[i] : cuts[i + 1]].tobytes(), *cells))
     return pa.Table.from_batches([_batch(rows, _FOUND)])
 
 
 def _by_text(table: pa.Table) -> pa.Table:
-    """One row per text: its phrases that go whole, and its triggers whose phrases differ."""
+    """One row per text: its phrases that go whole, its triggers whose phrases differ, and the hot ones of these."""
     kinds = {}
-    for name in ("phrases", "triggers"):
+    for name in ("phrases", "triggers", "hot"):
         cells = [(d, h) for d, h in zip(table["docs"].to_pylist(), table[name].to_pylist()) if h]
         docs, hashes = np.frombuffer(b"".join(d for d, _ in cells), np.int64), _unpack48([h for _, h in cells], 1)[0]
         order = np.argsort(docs, kind="stable")
@@ -166,7 +172,7 @@ def _by_text(table: pa.Table) -> pa.Table:
         cuts = np.append(starts, len(docs))
         kinds[name] = {int(docs[a]): hashes[a:b].tobytes() for a, b in zip(cuts, cuts[1:])}
     found = sorted(kinds["phrases"].keys() | kinds["triggers"].keys())
-    return pa.Table.from_batches([_batch([(d, kinds["phrases"].get(d, b""), kinds["triggers"].get(d, b"")) for d in found], _ASKED)])
+    return pa.Table.from_batches([_batch([(d, *(kinds[name].get(d, b"") for name in kinds)) for d in found], _ASKED)])
 
 
 def _member(values: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -176,6 +182,15 @@ def _member(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
 
+def _windows(data: np.ndarray, window: int, hot: np.ndarray, text, trigger, first, last, phrase) -> tuple[np.ndarray, ...]:
+    """Phrases, with the windows of hot ones as phrases of their own under hashes of their own."""
+    stay, count = ~hot, (last - first + 1)[hot]
+    at = np.repeat(first[hot] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+    own = mix(Ranges(data).hash(at, at + window))
+    old, new = (text, trigger, first, last, phrase), (np.repeat(text[hot], count), own, at, at, own)
+    return tuple(np.concatenate([x[stay], y]) for x, y in zip(old, new))
+
+
 def _phrase_rows(batches: Iterator[pa.RecordBatch], window: int, key: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """Per text the runs of its phrases that go whole; and by bucket the phrases of triggers that differ, with who has them where."""
     none = (None,) * 9
@@ -187,16 +202,20 @@ def _phrase_rows(batches: Iterator[pa.RecordBatch], window: int, key: int, bucke
             text, trigger, first, last, phrase = phrases(data, bounds, window, key)
             ids, cuts = ids.to_numpy(), np.searchsorted(text, np.arange(len(ids) + 1))
             text_key = asked.column(4).to_numpy()
-            whole, differ = np.zeros(len(text), bool), np.zeros(len(text), bool)
-            for i, (p, t) in enumerate(zip(asked.column(2).to_pylist(), asked.column(3).to_pylist())):
+            whole, differ, hot = (np.zeros(len(text), bool) for _ in range(3))
+            for i, (p, t, h) in enumerate(zip(*(asked.column(c).to_pylist() for c in (2, 3, 5)))):
                 own = slice(cuts[i], cuts[i + 1])
                 whole[own] = _member(phrase[own] & _LOW48, np.frombuffer(p, np.uint64))
                 differ[own] = _member(trigger[own] & _LOW48, np.frombuffer(t, np.uint64)) & ~whole[own]
+                if h:
+                    hot[own] = _member(trigger[own] & _LOW48, np.frombuffer(h, np.uint64)) & differ[own]
             begin = bounds[text[whole]]
             which, start, stop = _merged(text[whole], first[whole] - begin, last[whole] + window - begin)
             edges = np.append(np.flatnonzero(np.append(True, which[1:] != which[:-1])), len(which)) if len(which) else np.zeros(1, np.int64)
             rows = [(int(ids[which[a]]), int(text_key[which[a]]), start[a:b].tobytes(), stop[a:b].tobytes(), *none) for a, b in zip(edges, edges[1:])]
-            text, trigger, first, last, phrase = (x[differ] for x in (text, trigger, first, last, phrase))
+            text, trigger, first, last, phrase, hot = (x[differ] for x in (text, trigger, first, last, phrase, hot))
+            if hot.any():
+                text, trigger, first, last, phrase = _windows(data, window, hot, text, trigger, first, last, phrase)
             order, cuts, full = _deal(_bucket_of(trigger, buckets), buckets)
             for i in full:
                 here = order[cuts[i] : cuts[i + 1]]
@@ -329,7 +348,7 @@ def _cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, key: int = KEY) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, key: int = KEY, hot_phrases: int = HOT_PHRASES) -> DataFrame:
     """One row per document: doc_id, n_bytes, starts and stops of removed runs, and kept (the bytes left).
 
     A byte goes if a string of ``window`` bytes over it also starts in a text of
@@ -337,20 +356,21 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, key: int = KEY) -> Dat
     texts; a repeat within one text only stays.  Null counts as empty; texts
     shorter than ``window`` keep all.  Rows that share a doc_id don't count as
     repeats of each other, but each is judged; a null doc_id is the least of
-    all.  Columns but doc_id (long) and text are ignored.
+    all.  Columns but doc_id (long) and text are ignored.  ``hot_phrases`` only
+    decides how a trigger's windows are dealt, not what is found.
     """
     spark = docs.sparkSession
     small_batches(docs.sparkSession)
     lowest = -(2**63)
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    runs = _runs(docs, window, key)
+    runs = _runs(docs, window, key, hot_phrases)
     release(spark)
     cut = docs.withColumn("text_key", F.xxhash64("text")).join(runs, ["doc_id", "text_key"], "left").select("doc_id", "text", "starts", "stops")
     out = cut.mapInArrow(_cut_rows, "doc_id long, n_bytes long, starts array<long>, stops array<long>, kept binary")
     return out.withColumn("doc_id", F.when(F.col("doc_id") != lowest, F.col("doc_id")))
 
 
-def _runs(docs: DataFrame, window: int, key: int) -> DataFrame:
+def _runs(docs: DataFrame, window: int, key: int, hot_phrases: int) -> DataFrame:
     """(doc_id, text_key, starts, stops): lists of packed runs to remove, as a table."""
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = n_buckets(docs.sparkSession, total, BUCKET_BYTES)
@@ -358,8 +378,8 @@ def _runs(docs: DataFrame, window: int, key: int) -> DataFrame:
     # what a step resolved alone needs no meeting: it goes to groups of its own
     own = -1 - F.pmod(F.xxhash64("docs"), F.lit(buckets)).cast("int")
     dealt = parse.withColumn("group", F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(own))
-    found = dealt.groupBy("group").applyInArrow(lambda t: _resolve(t, buckets), _FOUND)
-    asked = docs.join(found.groupBy("part").applyInArrow(_by_text, _ASKED), "doc_id").select("doc_id", "text", "phrases", "triggers", F.xxhash64("text").alias("text_key"))
+    found = dealt.groupBy("group").applyInArrow(lambda t: _resolve(t, buckets, hot_phrases), _FOUND)
+    asked = docs.join(found.groupBy("part").applyInArrow(_by_text, _ASKED), "doc_id").select("doc_id", "text", "phrases", "triggers", F.xxhash64("text").alias("text_key"), "hot")
     both = stage(asked.mapInArrow(lambda it: _phrase_rows(it, window, key, buckets), f"{_RUNS}, {_PHRASES}"), "repeats-phrases")
     differ = both.where("bucket is not null").drop("doc_id", "text_key", "starts", "stops")
     edges = differ.groupBy("bucket").applyInArrow(lambda t: _removed(t, window), _RUNS)

@@ -46,6 +46,35 @@ def test_small_alphabets(spark, window, key):
     assert found(p.remove_repeats(df, window, key)) == brute(rows, window)
 
 
+@pytest.mark.parametrize("many", [1, 2, 5])
+def test_hot_triggers_find_the_same(spark, many):
+    rng = np.random.default_rng(many)
+    rows = [(i, "".join(rng.choice(list("ab"), rng.integers(0, 60)))) for i in range(40)] + [(99, "a" * 80), (3, "b" * 30), (7, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found(p.remove_repeats(df, 8, 3, hot_phrases=many)) == brute(rows, 8)
+
+
+def test_one_key_in_many_contexts(spark):
+    rng = np.random.default_rng(1)
+    noise = ["".join(rng.choice(list("abcdefgh"), 40)) for _ in range(6000)]
+    common = "the same passage of some forty characters"
+    rows = [(i, noise[2 * i] + common + noise[2 * i + 1]) for i in range(3000)]
+    rows += [(3000 + i, "x" + rows[7 * i][1][5:100]) for i in range(40)]  # repeats that begin and end within contexts
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = found(p.remove_repeats(df, hot_phrases=500))
+    assert got == brute(rows, 50) == found(p.remove_repeats(df))
+    assert sum(len(r[2]) for r in got) >= 40
+
+
+def test_windows_of_hot_phrases():
+    data = np.frombuffer(b"0123456789abcdef0123456789", np.uint8)
+    n = lambda *x: np.array(x, np.int64)
+    u = lambda *x: np.array(x, np.uint64)
+    text, trigger, first, last, phrase = p._windows(data, 5, np.array([False, True, True]), n(0, 0, 1), u(1, 2, 2), n(0, 2, 18), n(3, 4, 20), u(7, 8, 9))
+    assert text.tolist() == [0, 0, 0, 0, 1, 1, 1] and first.tolist() == [0, 2, 3, 4, 18, 19, 20] and last.tolist() == [3, 2, 3, 4, 18, 19, 20]
+    assert trigger[1:4].tolist() == trigger[4:].tolist() == phrase[1:4].tolist() and len(set(trigger[1:4].tolist())) == 3
+
+
 def test_odd_rows(spark, odd, nothing):
     rows = [(r["doc_id"], r["text"]) for r in odd.where("doc_id is not null").collect()]
     assert found(p.remove_repeats(odd.where("doc_id is not null"))) == brute(rows, 50)
