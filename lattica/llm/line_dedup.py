@@ -172,7 +172,8 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, long_bytes: int | N
     cuts = cuts.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "_cuts")
     on = (F.coalesce(docs["doc_id"], F.lit(-(2**63))) == F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_key"))
     none = F.array().cast("array<struct<start:int,stop:int>>")
-    joined = docs.join(cuts, on, "left").withColumn("_cuts", F.coalesce("_cuts", none)).drop("_id", "_key")
+    # cuts grow with the corpus: the same join at every size, where a broadcast would go over to a shuffle of all texts at some
+    joined = docs.join(cuts.hint("merge"), on, "left").withColumn("_cuts", F.coalesce("_cuts", none)).drop("_id", "_key")
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size("_lines"))
     ends = F.concat(F.array(F.lit(0)), F.transform("_cuts", lambda c: c["stop"]))
     starts = F.concat(F.transform("_cuts", lambda c: c["start"]), F.array(F.size("_lines")))

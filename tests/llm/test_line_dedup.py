@@ -101,3 +101,8 @@ def test_long_runs_of_few_lines(spark):
     assert {r["doc_id"]: r["kept"] for r in d.dedup_lines(df).collect()} == want
     assert {r["doc_id"]: r["kept"] for r in d.dedup_lines(df, 5).collect()} == want
     assert {r["doc_id"]: r["kept"] for r in d.dedup_lines(df, long_bytes=None).collect()} == dict(rows)
+
+
+def test_the_same_join_at_every_size(documents):
+    plan = d.dedup_lines(documents.select("doc_id", "text"), long_bytes=None)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
