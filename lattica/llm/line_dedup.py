@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.llm.common import stage, unstage
+from lattica.llm.common import release, stage, unstage
 
 MIN_LINES = 3
 #: Bytes from which a run of fewer lines is a repeat too; a word counts as WORD_BYTES at least, so 50 words are enough.
@@ -68,8 +68,10 @@ def suffix_levels(docs: DataFrame) -> list[DataFrame]:
     ``rank`` orders suffixes by those lines (lines by their ids).  No suffix
     repeats for as many lines as a further table would stand for.
     """
+    release(docs.sparkSession)
     levels = [_intervals(line_ids(docs), "lines-1", True)]
     while levels[-1].limit(1).count():
+        release(docs.sparkSession)  # each round plans anew; what the last ones left would fill the driver's heap
         levels.append(_intervals(_paired(levels[-1], 1 << (len(levels) - 1)), f"lines-{1 << len(levels)}"))
     unstage(levels.pop())
     return levels
@@ -116,6 +118,7 @@ def common_prefixes(pairs: DataFrame, levels: list[DataFrame]) -> DataFrame:
         following = stage(both.agg(*[F.any_value(c).alias(c) for c in rest], longer.cast("int").alias("lcp")), "lines-lcp")
         unstage(now)
         now = following
+        release(pairs.sparkSession)
     return now
 
 

@@ -106,3 +106,12 @@ def test_long_runs_of_few_lines(spark):
 def test_the_same_join_at_every_size(documents):
     plan = d.dedup_lines(documents.select("doc_id", "text"), long_bytes=None)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_the_driver_gives_memory_back_each_round(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(d, "release", lambda session: calls.append(session))
+    lines = [f"l{i}" for i in range(70)]
+    df = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(lines))], "doc_id long, text string")
+    levels = d.suffix_levels(df)
+    assert len(levels) == 7 and len(calls) >= 7
