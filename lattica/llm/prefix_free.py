@@ -21,14 +21,15 @@ windows are dealt one by one instead, by a hash of their own bytes.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import n_buckets, release, small_batches, stage
+from lattica.llm.common import n_buckets, release, small_batches, stage, unstage
 from lattica.llm.packed import Ranges, mix, steps
 
 WINDOW, KEY = 50, 20
@@ -370,21 +371,41 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, key: int = KEY, hot_ph
     return out.withColumn("doc_id", F.when(F.col("doc_id") != lowest, F.col("doc_id")))
 
 
-def _runs(docs: DataFrame, window: int, key: int, hot_phrases: int) -> DataFrame:
-    """(doc_id, text_key, starts, stops): lists of packed runs to remove, as a table."""
-    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    buckets = n_buckets(docs.sparkSession, total, BUCKET_BYTES)
+def _found(docs: DataFrame, window: int, key: int, buckets: int, hot_phrases: int) -> DataFrame:
+    """What each text is asked for (``_by_text``), as a table; so the parse need not stay while texts are dealt."""
     parse = docs.mapInArrow(lambda it: _parse_rows(it, window, key, buckets), _PARSE)
     # what a step resolved alone needs no meeting: it goes to groups of its own
     own = -1 - F.pmod(F.xxhash64("docs"), F.lit(buckets)).cast("int")
     dealt = parse.withColumn("group", F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(own))
     found = dealt.groupBy("group").applyInArrow(lambda t: _resolve(t, buckets, hot_phrases), _FOUND)
-    asked = docs.join(found.groupBy("part").applyInArrow(_by_text, _ASKED), "doc_id").select("doc_id", "text", "phrases", "triggers", F.xxhash64("text").alias("text_key"), "hot")
+    return stage(found.groupBy("part").applyInArrow(_by_text, _ASKED), "repeats-asked")
+
+
+def _drop_shuffles(spark: SparkSession) -> None:
+    """Again and again: something still holds the last query's plan when garbage is first collected, and the files go only a collection later."""
+    for _ in range(3):
+        release(spark)
+        time.sleep(1)
+
+
+def _runs(docs: DataFrame, window: int, key: int, hot_phrases: int) -> DataFrame:
+    """(doc_id, text_key, starts, stops): lists of packed runs to remove, as a table."""
+    spark = docs.sparkSession
+    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    buckets = n_buckets(spark, total, BUCKET_BYTES)
+    found = _found(docs, window, key, buckets, hot_phrases)
+    _drop_shuffles(spark)  # of the parse
+    asked = docs.join(found.hint("merge"), "doc_id").select("doc_id", "text", "phrases", "triggers", F.xxhash64("text").alias("text_key"), "hot")
     both = stage(asked.mapInArrow(lambda it: _phrase_rows(it, window, key, buckets), f"{_RUNS}, {_PHRASES}"), "repeats-phrases")
+    del asked
+    unstage(found)
+    _drop_shuffles(spark)  # of the texts
     differ = both.where("bucket is not null").drop("doc_id", "text_key", "starts", "stops")
     edges = differ.groupBy("bucket").applyInArrow(lambda t: _removed(t, window), _RUNS)
     all_runs = both.where("bucket is null").select("doc_id", "text_key", "starts", "stops").union(edges)
-    return stage(all_runs.groupBy("doc_id", "text_key").agg(F.collect_list("starts").alias("starts"), F.collect_list("stops").alias("stops")), "repeats-runs")
+    runs = stage(all_runs.groupBy("doc_id", "text_key").agg(F.collect_list("starts").alias("starts"), F.collect_list("stops").alias("stops")), "repeats-runs")
+    unstage(both)
+    return runs
 
 
 def op7_prefix_free(spark, sf_dir: str) -> DataFrame:

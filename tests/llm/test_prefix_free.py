@@ -103,3 +103,19 @@ def test_every_window_is_in_one_phrase_and_equal_windows_have_equal_triggers():
     owner = np.repeat(trigger, last - first + 1)
     of = dict(zip(covered.tolist(), owner.tolist()))
     assert all(of[300 + k] == of[600 + k] for k in range(150) if 300 + k in of)
+
+
+def test_tables_and_shuffles_go_when_used(spark, monkeypatch):
+    made, order = [], []
+    stage, unstage, release = p.stage, p.unstage, p.release
+    monkeypatch.setattr(p, "stage", lambda df, name, *more: (order.append(name), made.append(stage(df, name, *more)), made[-1])[-1])
+    monkeypatch.setattr(p, "release", lambda *more: (order.append("release"), release(*more))[1])
+    monkeypatch.setattr(p, "unstage", lambda df: (order.append("unstage"), unstage(df))[1], raising=False)
+    text = "".join(chr(97 + i * i % 23) for i in range(200))
+    df = spark.createDataFrame([(1, text), (2, "x" + text), (3, "y" * 30 + text[:120])], "doc_id long, text string")
+    got = {r["doc_id"]: len(r["kept"]) for r in p.remove_repeats(df).collect()}
+    assert got == {1: 200, 2: 1, 3: 30}
+    steps = [a for a, b in zip(order, [None, *order]) if a != b]
+    assert steps == ["repeats-asked", "release", "repeats-phrases", "unstage", "release", "repeats-runs", "unstage", "release"]
+    left = [t for t in made if spark._jvm.java.io.File(t.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://").removeprefix("file:")).exists()]
+    assert left == made[2:]
