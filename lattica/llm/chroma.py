@@ -13,6 +13,10 @@ first and the last vote at the peak decide on the alignment.  Having a run is an
 equivalence, so links to the first holder of each connect all its holders, and
 the components are those of all pairs though the links grow with the input.
 Equal fingerprints are one class.
+
+``align_all`` goes on from these components: all pairs within one are compared
+in blocks, so each pair that shares a run has its votes, whoever was first, and
+only sums and the best of each class leave a block.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import small_batches, stage
+from lattica.llm.common import n_buckets, small_batches, stage
 from lattica.llm.packed import Ranges, components, mix, steps
 
 #: Samples a second, samples of a frame, samples from frame to frame.
@@ -35,6 +39,10 @@ SMOOTHING = (0.25, 0.75, 1.0, 0.75, 0.25)
 #: Frames of a filter's window, and the level that parts weak from strong differences.
 WINDOW, LEVEL = 16, 0.08
 RUN, MAX_ERROR = 6, 0.15
+#: Bytes of fingerprints of a block; the pairs of two blocks are a task.
+BLOCK_BYTES = 512 << 10
+#: Votes, or compared integers, that a task holds at once.
+STEP_VOTES = 1 << 21
 _PRINTS = "doc_id long, n_samples long, h1 long, h2 long, prints binary"
 
 
@@ -136,21 +144,27 @@ def fingerprints(recordings: DataFrame, audio_col: str = "audio", id_col: str =
     return rows.mapInArrow(lambda it: _print_rows(it, rate, frame, hop), _PRINTS)
 
 
+def run_hashes(x: np.ndarray, run: int) -> np.ndarray:
+    """Hash of the run at every place of a fingerprint that has a whole one."""
+    x = x.astype(np.uint64)
+    n = max(len(x) - run + 1, 0)
+    h = np.zeros(n, np.uint64)
+    for i in range(run):
+        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + x[i : i + n])
+    return h.view(np.int64)
+
+
 def _runs(batches: Iterator[pa.RecordBatch], run: int) -> Iterator[pa.RecordBatch]:
     """The run at every place of a class."""
     for batch in batches:
         keys, who, where = [], [], []
         for rep, raw in zip(batch["rep"].to_pylist(), batch["prints"].to_pylist()):
-            x = np.frombuffer(raw, "<u4").astype(np.uint64)
-            n = len(x) - run + 1
-            if n <= 0:
+            h = run_hashes(np.frombuffer(raw, "<u4"), run)
+            if not len(h):
                 continue
-            h = np.zeros(n, np.uint64)
-            for i in range(run):
-                h = mix(h * np.uint64(0x9E3779B97F4A7C15) + x[i : i + n])
-            keys.append(h.view(np.int64))
-            where.append(np.arange(n))
-            who.append(np.full(n, rep, np.int64))
+            keys.append(h)
+            where.append(np.arange(len(h)))
+            who.append(np.full(len(h), rep, np.int64))
         if keys:
             columns = [pa.array(np.concatenate(c)) for c in (keys, who, where)]
             yield pa.RecordBatch.from_arrays(columns, names=["key", "rep", "pos"])
@@ -180,12 +194,17 @@ def _classes(prints: DataFrame) -> DataFrame:
     return stage(classes, "chroma-classes")
 
 
-def _peaks(classes: DataFrame, run: int, max_error: float) -> DataFrame:
-    """Each class with each first holder of one of its runs: the peak of their offset histogram, and its bit errors."""
+def _voted(classes: DataFrame, run: int) -> DataFrame:
+    """rep, pos, anchor and there: each place of a run that a class of smaller id has, with the first holder's first place."""
     runs = stage(classes.select("rep", "prints").mapInArrow(lambda it: _runs(it, run), "key long, rep long, pos long"), "chroma-runs")
     first = runs.groupBy("key").agg(F.min(F.struct("rep", "pos")).alias("at"), F.min("rep").alias("least"), F.max("rep").alias("most"))
     first = first.where("least < most").select("key", F.col("at.rep").alias("anchor"), F.col("at.pos").alias("there"))
-    voted = runs.join(first, "key").where("rep > anchor")
+    return runs.join(first, "key").where("rep > anchor")
+
+
+def _peaks(classes: DataFrame, run: int, max_error: float) -> DataFrame:
+    """Each class with each first holder of one of its runs: the peak of their offset histogram, and its bit errors."""
+    voted = _voted(classes, run)
     span = (F.count("*").alias("votes"), F.min("pos").alias("start"), (F.max("pos") + run).alias("stop"))
     histogram = voted.groupBy("rep", "anchor", (F.col("pos") - F.col("there")).alias("offset")).agg(*span)
     best = F.max(F.struct("votes", (-F.col("offset")).alias("o"), "start", "stop")).alias("best")
@@ -233,13 +252,137 @@ def align(prints: DataFrame, run: int = RUN, max_error: float = MAX_ERROR) -> Da
     degree = peaks.select(F.explode(F.array("rep", "anchor")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     edges = peaks.select(F.col("rep").alias("a"), F.col("anchor").alias("b"))
     roots = components(edges, "chroma-components").select(F.col("v").alias("rep"), "root")
-    of_class = classes.select("h1", "h2", "rep").join(chosen, "rep", "left").join(degree, "rep", "left").join(roots, "rep", "left")
+    return _rows(prints, classes.select("h1", "h2", "rep").join(chosen, "rep", "left").join(degree, "rep", "left").join(roots, "rep", "left"))
+
+
+def _rows(prints: DataFrame, of_class: DataFrame) -> DataFrame:
+    """One row per recording, with what is known of its class."""
     out = prints.select("doc_id", "n_samples", "h1", "h2", (F.octet_length("prints") / 4).cast("long").alias("n_prints")).join(of_class, ["h1", "h2"], "left")
     mine = F.when(F.col("n_prints") > 0, F.col("rep")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_samples", "n_prints", mine.alias("class_id"), F.col("anchor").alias("aligned_to"), "offset", "votes", F.col("error").alias("bit_error_rate"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce(F.col("root"), mine).alias("component_id"))
 
 
+def pair_peaks(prints: list[np.ndarray], apart: np.ndarray | None = None, run: int = RUN, step: int = STEP_VOTES) -> Iterator[tuple[np.ndarray, ...]]:
+    """i, j (smaller), offset, votes, start, stop and error of every pair of fingerprints that share a run, some at a time; no pair comes twice.
+
+    With ``apart`` only pairs that differ in it.  Each place of a run in i votes
+    for the offset to its first place in j.
+    """
+    n = len(prints)
+    hashes = [run_hashes(x, run) for x in prints]
+    sizes = np.array([len(h) for h in hashes], np.int64)
+    if not sizes.sum():
+        return
+    who = np.repeat(np.arange(n), sizes)
+    pos = np.arange(len(who)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    key = np.unique(np.concatenate(hashes), return_inverse=True)[1].astype(np.int64)
+    held, first = np.unique(key * n + who, return_index=True)  # the first place of each key in each that has it
+    there, holder = pos[first], held % n
+    base, room = np.concatenate([[0], np.cumsum([len(x) for x in prints])]), int(sizes.max()) + 1
+    flat = np.concatenate(prints)
+
+    def peaks(places: np.ndarray, low: int, high: int) -> Iterator[tuple[np.ndarray, ...]]:
+        """Of pairs with i among those of ``places`` and j from ``low`` on, below ``high``."""
+        a = np.searchsorted(held, key[places] * n + low)
+        count = np.maximum(np.searchsorted(held, key[places] * n + np.minimum(who[places], high)) - a, 0)
+        at = np.repeat(a - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        own = np.repeat(places, count)
+        if apart is not None:
+            kept = apart[who[own]] != apart[holder[at]]
+            at, own = at[kept], own[kept]
+        if not len(at):
+            return
+        code = (who[own] * n + holder[at]) * (2 * room) + (pos[own] - there[at] + room)
+        order = np.argsort(code, kind="stable")  # places stay in order
+        code, place = code[order], pos[own[order]]
+        heads = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+        votes = np.diff(np.append(heads, len(code)))
+        start, stop, pair = place[heads], place[np.append(heads[1:], len(code)) - 1] + run, code[heads] // (2 * room)
+        of = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
+        most = np.repeat(np.maximum.reduceat(votes, of), np.diff(np.append(of, len(pair))))
+        best = np.flatnonzero(votes == most)
+        best = best[np.append(True, pair[best][1:] != pair[best][:-1])]  # then the smaller offset
+        i, j, offset = pair[best] // n, pair[best] % n, code[heads[best]] % (2 * room) - room
+        start, stop, votes = start[best], stop[best], votes[best]
+        ends = np.cumsum(stop - start)
+        cut = 0
+        while cut < len(i):
+            to = max(cut + 1, int(np.searchsorted(ends, (ends[cut - 1] if cut else 0) + step, "right")))
+            s = slice(cut, to)
+            length = stop[s] - start[s]
+            begins = np.cumsum(length) - length
+            x = np.repeat(base[i[s]] + start[s] - begins, length) + np.arange(length.sum())
+            y = x + np.repeat(base[j[s]] - offset[s] - base[i[s]], length)
+            wrong = np.add.reduceat(np.bitwise_count(flat[x] ^ flat[y]).astype(np.int64), begins)
+            yield i[s], j[s], offset[s], votes[s], start[s], stop[s], wrong / (32 * length)
+            cut = to
+
+    # votes of all places of each i, counted before they are made
+    smaller = np.searchsorted(held, key * n + who) - np.searchsorted(held, key * n)
+    total = np.concatenate([[0], np.cumsum(np.bincount(who, smaller, n).astype(np.int64))])
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    i = 0
+    while i < n:
+        to = max(i + 1, int(np.searchsorted(total, total[i] + step, "right")) - 1)
+        width = n if total[to] - total[i] <= step else max(step // int(sizes[i]), 1)  # one with very many votes meets the others in turn
+        for low in range(0, to, width):
+            yield from peaks(np.arange(bounds[i], bounds[to]), low, low + width)
+        i = to
+
+
+_BEST = {"neg_votes": pa.int64(), "error": pa.float64(), "anchor": pa.int64(), "offset": pa.int64()}
+_FOUND = "rep long, n_links long, best struct<neg_votes:bigint,error:double,anchor:bigint,offset:bigint>"
+
+
+def _block(rows: pa.Table, run: int, max_error: float) -> pa.Table:
+    """rep, n_links and best of each class of two blocks, from the pairs across them; or of one, from all of its pairs."""
+    rows = rows.sort_by("rep")
+    reps, side = rows["rep"].to_numpy(), rows["side"].to_numpy()
+    n = len(reps)
+    n_links, best = np.zeros(n, np.int64), [None] * n
+    prints = [np.frombuffer(x, "<u4") for x in rows["prints"].to_pylist()]
+    for i, j, offset, votes, _, _, error in pair_peaks(prints, side if rows["p"][0] != rows["q"][0] else None, run):
+        n_links += np.bincount(i, minlength=n) + np.bincount(j, minlength=n)
+        order = np.lexsort((j, error, -votes, i))
+        order = order[error[order] <= max_error]
+        order = order[np.append(True, i[order][1:] != i[order][:-1])] if len(order) else order
+        for k in order.tolist():
+            found = (-int(votes[k]), float(error[k]), int(reps[j[k]]), int(offset[k]))
+            best[i[k]] = min(best[i[k]] or found, found)
+    return pa.table({"rep": reps, "n_links": n_links, "best": pa.array([b and dict(zip(_BEST, b)) for b in best], pa.struct(list(_BEST.items())))})
+
+
+def align_all(prints: DataFrame, run: int = RUN, max_error: float = MAX_ERROR, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The columns of ``align``, from every pair of classes that share a run, whoever was its first holder.
+
+    ``n_links`` is the number of other classes that share a run with the class,
+    and ``aligned_to`` the best of all those of smaller id: each place of a run
+    votes for the offset to its first place there.  Pairs are in one component;
+    the smaller components are put together to blocks, larger ones are cut into
+    blocks of about ``block_bytes`` of fingerprints, and all pairs of these are
+    tasks.  A pair is never a row.
+    """
+    prints = stage(prints, "chroma-prints")
+    classes = _classes(prints)
+    edges = stage(_voted(classes, run).select(F.col("rep").alias("a"), F.col("anchor").alias("b")).distinct(), "chroma-shared")
+    roots = stage(components(edges, "chroma-components").select(F.col("v").alias("rep"), "root"), "chroma-roots")
+    roots = roots.unionByName(roots.select(F.col("root").alias("rep"), "root").distinct())
+    members = stage(classes.select("rep", "prints").join(roots, "rep"), "chroma-members")
+    n_bytes = members.groupBy("root").agg(F.sum(F.octet_length("prints")).alias("n_bytes"))
+    n = n_buckets(prints.sparkSession, members.agg(F.coalesce(F.sum(F.octet_length("prints")), F.lit(0))).first()[0], block_bytes)
+    parts = F.ceil(F.col("n_bytes") / block_bytes).cast("int")
+    placed = members.join(n_bytes, "root").withColumn("parts", parts).withColumn("side", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    whole = F.col("parts") == 1
+    placed = placed.withColumn("of", F.when(whole, F.pmod(F.xxhash64("root"), F.lit(n))).otherwise(F.col("root"))).withColumn("whole", whole)
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    tasks = placed.select("whole", "of", F.least("side", "other").alias("p"), F.greatest("side", "other").alias("q"), "side", "rep", "prints")
+    found = tasks.groupBy("whole", "of", "p", "q").applyInArrow(lambda rows: _block(rows, run, max_error), _FOUND)
+    of_rep = found.groupBy("rep").agg(F.sum("n_links").alias("n_links"), F.min("best").alias("best"))
+    known = of_rep.select("rep", "n_links", "best.anchor", "best.offset", (-F.col("best.neg_votes")).alias("votes"), "best.error")
+    return _rows(prints, classes.select("h1", "h2", "rep").join(known, "rep", "left").join(roots, "rep", "left"))
+
+
 def op4_chroma(spark, sf_dir: str) -> DataFrame:
     """The tables hold no audio: the bytes of each whole text of ``documents`` are taken as samples, so copies and shared passages are repeated sound."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return align(fingerprints(docs, "text"))
+    return align_all(fingerprints(docs, "text"))

@@ -148,3 +148,80 @@ def test_many_near_copies_make_few_links(spark):
     prints = c.fingerprints(df)
     assert c.align(prints).select("component_id").distinct().count() == 1
     assert c.links(prints).count() < 300 * 30
+
+
+def brute_all(rows, max_error=c.MAX_ERROR):
+    """The rules of ``align_all``, literally, pair by pair."""
+    prints = dict(zip([i for i, _ in rows], prints_of(rows)))
+    rep = {i: next((j for j in sorted(prints) if len(prints[i]) and np.array_equal(prints[j], prints[i])), i) for i in prints}
+    best, degree = {}, Counter()
+    classes = sorted(i for i in set(rep.values()) if len(prints[i]))
+    for i in classes:
+        found = []
+        for j in (j for j in classes if j < i):
+            first = {}
+            for k, key in enumerate(runs_of(prints[j])):
+                first.setdefault(key, k)
+            histogram = {}
+            for k, key in enumerate(runs_of(prints[i])):
+                if key in first:
+                    histogram.setdefault(k - first[key], []).append(k)
+            if histogram:
+                degree.update((i, j))
+                n, offset = min((-len(ks), o) for o, ks in histogram.items())
+                error = c.bit_errors(prints[i], prints[j], offset, min(histogram[offset]), max(histogram[offset]) + c.RUN)
+                found += [(n, error, j, offset)] * (error <= max_error)
+        if found:
+            n, error, j, offset = min(found)
+            best[i] = (j, offset, -n, error)
+    roots = {w[0]: w[-1] for w in brute(rows)}
+    return sorted((i, len(dict(rows)[i] or b""), len(prints[i]), rep[i], *best.get(rep[i], (None,) * 4), degree[rep[i]], roots[i]) for i in prints)
+
+
+def shared_passages():
+    """One passage in all, in near copies and between other sound; tones, whose runs repeat; and passages first held by others."""
+    rng = np.random.default_rng(12)
+    noise = lambda n: rng.integers(0, 256, n).astype(np.uint8).tobytes()
+    passage, parts = noise(64 * 50), [noise(3200) for _ in range(3)]
+    rows = [(i, noise(64 * int(rng.integers(0, 40))) + passage + noise(64 * int(rng.integers(0, 40)))) for i in range(12)]
+    rows += [(20 + i, tone(440, 3000 + 640 * i).tobytes()) for i in range(4)]
+    rows += [(30 + i, p + noise(4800)) for i, p in enumerate(parts)]
+    rows += [(40, noise(64) + b"".join(parts)), (41, noise(64 * 9) + parts[2] + parts[0]), (42, parts[0] + noise(640) + parts[2]), (43, noise(5000)), (44, None)]
+    song = np.frombuffer(noise(9000), np.uint8)
+    for i in range(8):
+        copy = song.copy()
+        copy[rng.integers(0, 9000, 2)] ^= np.uint8(64)
+        rows.append((50 + i, copy.tobytes()))
+    return [*rows, (60, rows[-1][1])]
+
+
+def test_all_pairs_against_brute_force(spark):
+    """Later holders of a run are linked and aligned with each other, in one block as in many."""
+    rows = shared_passages()
+    df = spark.createDataFrame([(i, x and bytes(x)) for i, x in rows], "doc_id long, audio binary")
+    want = brute_all(rows)
+    for block_bytes in (c.BLOCK_BYTES, 1500):
+        got = sorted((tuple(r) for r in c.align_all(c.fingerprints(df), block_bytes=block_bytes).collect()), key=lambda r: r[0])
+        same(got, want)
+    by_id = {w[0]: w for w in want}
+    assert all(by_id[i][8] == 11 for i in range(12))
+
+
+def test_the_query_counts_all_links(spark, tmp_path):
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz ,.\n!?", np.uint8)
+    rng = np.random.default_rng(6)
+    text = lambda n: letters[rng.integers(0, len(letters), n)].tobytes().decode()
+    passage = text(64 * 40)
+    rows = [(i, text(64 * 30) + passage + text(64 * 30)) for i in range(5)] + [(9, text(5000))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["n_links"] for r in c.op4_chroma(spark, str(tmp_path)).collect()}
+    assert got == {**{i: 4 for i in range(5)}, 9: 0}
+
+
+def test_pairs_in_small_steps():
+    prints = prints_of(shared_passages())
+
+    def of(step):
+        return sorted(tuple(round(float(v), 9) for v in row) for some in c.pair_peaks(prints, step=step) for row in zip(*some))
+
+    assert of(c.STEP_VOTES) == of(40) == of(3)
