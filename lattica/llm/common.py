@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +51,7 @@ def stage(df: DataFrame, name: str, options: dict | None = None) -> DataFrame:
     path = f"{shared_dir(spark)}/lattica-{name}-{uuid.uuid4().hex}"
     df.write.options(**(options or {})).parquet(path)
     _made.append((spark, path))
+    release_jvm(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -69,6 +71,23 @@ def small_batches(spark: SparkSession, rows: int = 1024) -> None:
         spark.conf.set(name, str(rows))
 
 
+def release_jvm(spark: SparkSession) -> None:
+    """The driver's JVM collects garbage, and what its threads have freed outside the heap goes back to the system.
+
+    Compiling and planning leave hundreds of megabytes in the allocator's arenas,
+    which no collection shrinks.  A JVM without that command keeps them.
+    """
+    jvm = spark.sparkContext._jvm
+    jvm.System.gc()
+    args = spark.sparkContext._gateway.new_array(jvm.java.lang.Object, 4)
+    args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    (invoke,) = [m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke"]
+    try:
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+    except Py4JJavaError:
+        return
+
+
 def release(spark: SparkSession, executors: bool = False) -> None:
     """Let Spark drop shuffle files and broadcasts of frames that nothing refers to any more: it does so as the driver collects garbage.
 
@@ -81,7 +100,7 @@ def release(spark: SparkSession, executors: bool = False) -> None:
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library; else the allocator keeps what it has
     if trim:
         trim(0)
-    spark.sparkContext._jvm.System.gc()
+    release_jvm(spark)
     if executors:
         n = 2 * spark.sparkContext.defaultParallelism
         spark.range(0, n, 1, n).select(F.expr("reflect('java.lang.System', 'gc')")).write.format("noop").mode("overwrite").save()
