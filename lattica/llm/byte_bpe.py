@@ -299,7 +299,7 @@ def encode(
     cut = cut_texts(docs, pattern)
     words = stage(cut.select(F.explode("words").alias("word")).distinct(), "bpe-words", _DENSE)
     tasks = max(2 * spark.sparkContext.defaultParallelism, -(-words.count() // WORDS_EACH))
-    release(spark)
+    release(spark, executors=True)  # the fold fills the heap beside the workers that have cut the texts
     dictionary = stage(encode_words(words.repartition(tasks, "word"), ranks, longest_folded), "bpe-dictionary", _DENSE)
     unstage(words)
     tokens = [b""] * (max(ranks.values(), default=-1) + 1)

@@ -7,7 +7,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from py4j.protocol import Py4JJavaError
@@ -93,17 +93,31 @@ def release(spark: SparkSession, executors: bool = False) -> None:
 
     The driver's Python gives free memory back as well.
     With ``executors`` they collect theirs too, and heaps that one stage has
-    grown shrink before the next one's Python workers start.
+    grown shrink before the next one's Python workers start; idle workers give
+    back what earlier stages have freed in them.
     """
+    _give_back()
+    release_jvm(spark)
+    if executors:
+        ship(spark)
+        n = 2 * spark.sparkContext.defaultParallelism
+        tasks = spark.range(0, n, 1, n)
+        tasks.select(F.expr("reflect('java.lang.System', 'gc')")).write.format("noop").mode("overwrite").save()
+        tasks.mapInArrow(_give_back_between, "id long").write.format("noop").mode("overwrite").save()
+
+
+def _give_back() -> None:
+    """This Python's garbage and free memory go back to the system."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library; else the allocator keeps what it has
     if trim:
         trim(0)
-    release_jvm(spark)
-    if executors:
-        n = 2 * spark.sparkContext.defaultParallelism
-        spark.range(0, n, 1, n).select(F.expr("reflect('java.lang.System', 'gc')")).write.format("noop").mode("overwrite").save()
+
+
+def _give_back_between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from batches
+    _give_back()
 
 
 def _delete(spark: SparkSession, path: str) -> None:

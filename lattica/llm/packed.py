@@ -22,6 +22,8 @@ from lattica.llm.common import stage, unstage
 STEP_BYTES = 4 << 20
 _BASE = 0x5851F42D4C957F2D  # odd
 _WORD64 = np.uint64(64)
+#: Tables of powers grow by this many.
+_POWERS_STEP = 1 << 17
 
 
 @lru_cache(1)
@@ -29,12 +31,18 @@ def _byte_values() -> np.ndarray:
     return np.random.default_rng(20).integers(0, 2**64, 256, np.uint64)
 
 
-@lru_cache(2)
-def _powers(bits: int, inverse: bool) -> np.ndarray:
-    base = pow(_BASE, -1, 2**64) if inverse else _BASE
-    out = np.full(1 << bits, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+_made: dict[bool, np.ndarray] = {}
+
+
+def _powers(n: int, inverse: bool) -> np.ndarray:
+    """The first ``n`` powers of the base.  The longest table that was needed is kept, and no longer one: a worker holds it while it idles."""
+    n_kept = len(_made.get(inverse, ()))
+    if not n_kept or n_kept < n:
+        base = pow(_BASE, -1, 2**64) if inverse else _BASE
+        out = np.full(max(-(-n // _POWERS_STEP), 1) * _POWERS_STEP, base, np.uint64)
+        out[0] = 1
+        _made[inverse] = np.multiply.accumulate(out, out=out)
+    return _made[inverse][:n]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -48,10 +56,9 @@ class Ranges:
     """Hashes of ranges of ``data`` (uint8): equal bytes, equal hash."""
 
     def __init__(self, data: np.ndarray):
-        bits = max(int(len(data)).bit_length(), STEP_BYTES.bit_length())
-        self.inverse = _powers(bits, True)
+        self.inverse = _powers(len(data) + 1, True)
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_byte_values()[data] * _powers(bits, False)[: len(data)], out=self.sums[1:])
+        np.cumsum(_byte_values()[data] * _powers(len(data), False), out=self.sums[1:])
 
     def hash(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         raw = (self.sums[stop] - self.sums[start]) * self.inverse[start]
